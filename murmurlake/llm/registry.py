@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmurlake.llm import decontamination, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, url_filters
+from murmurlake.llm import decontamination, line_dedup, lm_scoring, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_coverage(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_packing, op4_secret_scan, op5_quality_rules, op7_quality_classifier, op8_near_duplicates, op9_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_packing, op4_secret_scan, op5_quality_rules, op6_lm_scoring, op7_quality_classifier, op8_near_duplicates, op9_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
