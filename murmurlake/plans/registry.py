@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from murmurlake.plans import cadence, replies
+
 FLAGSHIP = "cadence_hourly"
+PLANS = (cadence, replies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for plan in PLANS for name, text in plan.SQL.items()}
