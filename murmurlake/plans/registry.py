@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmurlake.plans import cadence, replies
+from murmurlake.plans import cadence, replies, words
 
 FLAGSHIP = "cadence_hourly"
-PLANS = (cadence, replies)
+PLANS = (cadence, replies, words)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
