@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmurlake.plans import cadence, replies, words
+from murmurlake.plans import cadence, compare, replies, words
 
 FLAGSHIP = "cadence_hourly"
-PLANS = (cadence, replies, words)
+PLANS = (cadence, replies, words, compare)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
