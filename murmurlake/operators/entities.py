@@ -112,7 +112,7 @@ def communities(edges_: DataFrame) -> DataFrame:
         found = louvain(pdf["a"].tolist(), pdf["b"].tolist(), pdf["weight"].astype(float).tolist())
         return pd.DataFrame({"entity": list(found), "community": list(found.values())})
 
-    return edges_.groupBy(F.lit(1)).applyInPandas(run, "entity string, community bigint")
+    return edges_.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "entity string, community bigint")
 
 
 def community_rollup(communities_: DataFrame, nodes_: DataFrame, exemplars: int = 5) -> DataFrame:
