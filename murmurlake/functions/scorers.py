@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from murmurlake.functions.text import probably_english
 
@@ -34,9 +35,9 @@ def score_texts(df: DataFrame, text: str, labels: tuple[str, ...], scorer: Score
                 pdf[label] = [float(s.get(label, 0.0)) for s in scores]
             yield pdf[columns]
 
-    schema = df.schema
+    schema = StructType([*df.schema.fields])  # adding to a frame's own schema would change the frame
     for label in labels:
-        schema = schema.add(label, "double")
+        schema.add(label, "double")
     return df.mapInPandas(run, schema)
 
 

@@ -126,11 +126,12 @@ def read_legacy(spark: SparkSession, folder: str, chat_id: int) -> DataFrame | N
 
 def discover_chats(spark: SparkSession, root: str, types: tuple[str, ...] = ("direct", "group", "channel", "saved")) -> DataFrame:
     """Chats from ``<root>/<type>/<slug>/_state.json``; unknown types are skipped."""
-    files = spark.read.text(f"{root}/*/*/_state.json", wholetext=True).select(F.input_file_name().alias("file"), "value")
-    state = F.from_json("value", "chat_id bigint, last_message_id bigint, last_synced_at string, last_status string, last_error string")
-    parts = F.split("file", "/")
-    out = files.select(F.element_at(parts, -3).alias("chat_type"), F.element_at(parts, -2).alias("slug"), state.alias("s"))
-    return out.where(F.col("chat_type").isin(*types)).select("s.chat_id", "chat_type", "slug", F.coalesce("s.last_message_id", F.lit(0)).alias("last_message_id"), "s.last_synced_at", F.coalesce("s.last_status", F.lit("never")).alias("last_status"), "s.last_error")
+    rows = []  # a small file for each chat; Spark's own listing passes over names that begin with an underscore
+    for file in sorted(Path(root).glob("*/*/_state.json")):
+        if file.parts[-3] in types:
+            state = parse_object(file.read_text())
+            rows.append((state.get("chat_id"), file.parts[-3], file.parts[-2], state.get("last_message_id") or 0, state.get("last_synced_at"), state.get("last_status") or "never", state.get("last_error")))
+    return spark.createDataFrame(rows, "chat_id bigint, chat_type string, slug string, last_message_id bigint, last_synced_at string, last_status string, last_error string")
 
 
 def chat_note(chats: DataFrame) -> DataFrame:

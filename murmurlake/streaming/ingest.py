@@ -40,9 +40,11 @@ def ingest(stream: DataFrame, archive: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_cadence(stream: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Messages and media of each window of event time; rows later than ``late`` are dropped."""
-    counts = stream.withWatermark("timestamp", late).groupBy(F.window("timestamp", every)).agg(F.count("*").alias("messages"), F.sum(F.col("has_media").cast("bigint")).alias("media"))
+def windowed_cadence(stream: DataFrame, every: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
+    """Messages and media of each window of event time; rows later than ``late`` are dropped (None: the stream has its
+    watermark already)."""
+    marked = stream.withWatermark("timestamp", late) if late else stream
+    counts = marked.groupBy(F.window("timestamp", every)).agg(F.count("*").alias("messages"), F.sum(F.col("has_media").cast("bigint")).alias("media"))
     return counts.select(F.col("window.start").alias("start"), "messages", "media")
 
 
