@@ -1,17 +1,16 @@
-"""Session settings, the shared folder, and vectorised word splitting over Arrow batches."""
+"""Session settings and vectorised word splitting over Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from murmurlake.functions.shared import written as written
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; a worker's memory follows from these, not from the data.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
@@ -28,29 +27,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = getattr(spark.sparkContext, "_murmurlake_folder", None) or tempfile.mkdtemp(prefix="murmurlake-")
-        spark.sparkContext._murmurlake_folder = folder
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def text_of(column: str) -> Column:
-    """A text column with null read as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n+1 row offsets of a string column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
