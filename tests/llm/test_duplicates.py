@@ -119,7 +119,7 @@ def brute_lines(rows, edits, min_chars):
         for q, source, y in lines[:i]:
             if q == p and x == y:
                 continue
-            d = 0 if x == y else line_dedup.plain_distance(x, y) if min(len(x), len(y)) >= min_chars else 99
+            d = 0 if x == y else line_dedup.plain_distance(x, y) if min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= edits else 99
             if q < p and d <= edits:
                 out.append((doc, p[2], source, q[2], d))
                 break
