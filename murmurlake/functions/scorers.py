@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from murmurlake.functions.shared import importable
 from murmurlake.functions.text import probably_english
 
 Scorer = Callable[[list[str]], list[dict[str, float]]]
@@ -17,6 +18,7 @@ Scorer = Callable[[list[str]], list[dict[str, float]]]
 def score_texts(df: DataFrame, text: str, labels: tuple[str, ...], scorer: Scorer, clip: int | None = None, batch: int = 16) -> DataFrame:
     """``df`` with a double column for each label, 0 where the scorer gives none. Blank texts aren't sent and get
     zeros. A scorer that answers with another number of rows is an error."""
+    importable(df.sparkSession)
     columns = [*df.columns, *labels]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,6 +66,7 @@ def translate(df: DataFrame, translator: Callable[[list[str]], list[str]] | None
     )
     if translator is None:
         return ruled.drop("__open")
+    importable(df.sparkSession)
     columns = df.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,13 +1,21 @@
-"""The folder that all executors share, and tables written there to cut lineage."""
+"""What executors share: the package itself, a folder, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")

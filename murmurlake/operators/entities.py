@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmurlake.functions.shared import importable
+
 
 def capitalised(messages: DataFrame) -> DataFrame:
     """Capitalised words of four letters or more as mentions: a stand-in where no extractor is given."""
@@ -112,6 +114,7 @@ def communities(edges_: DataFrame) -> DataFrame:
         found = louvain(pdf["a"].tolist(), pdf["b"].tolist(), pdf["weight"].astype(float).tolist())
         return pd.DataFrame({"entity": list(found), "community": list(found.values())})
 
+    importable(edges_.sparkSession)
     return edges_.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "entity string, community bigint")
 
 
