@@ -8,6 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running_total(df: DataFrame, order: str, amount: str, name: str, parts: int = 200) -> DataFrame:
+    """Adds the sum of ``amount`` over all rows before, in the order of a column of distinct doubles.
+
+    Rows are split at approximate quantiles; each part is summed on its own and starts from the totals of those
+    before it, of which there are ``parts`` at most. So no task orders the whole table."""
+    points = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    edges = F.broadcast(df.agg(F.percentile_approx(order, points, F.lit(10 * parts)).alias("__edges")))
+    split = df.crossJoin(edges).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col(order)))).drop("__edges")
+    totals = split.groupBy("__part").agg(F.sum(amount).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(totals.select("__part", before.alias("__start")))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return split.withColumn("__inside", inside).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__inside")).drop("__part", "__start", "__inside")
+
+
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: sizes, medians, U of the first group (``group`` true), rank-biserial correlation, and z with tie and
     continuity correction. Null values are left out; z is null if a group is empty or all values are equal.
@@ -15,8 +30,7 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     Ranks come from counts of equal values, so only distinct values are ordered."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).cast("boolean").alias("g"), F.col(value).cast("double").alias("v"))
     each = rows.groupBy("v").agg(F.count("*").alias("t"), F.count_if("g").alias("a"))
-    below = F.sum("t").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
-    ranked = each.withColumn("rank", below + (F.col("t") + 1) / 2.0)
+    ranked = running_total(each, "v", "t", "below").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2.0)
     total = ranked.agg(F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
     medians = rows.agg(F.percentile(F.when(F.col("g"), F.col("v")), F.lit(0.5)).alias("median_1"), F.percentile(F.when(~F.col("g"), F.col("v")), F.lit(0.5)).alias("median_2"))
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), (F.col("n1") + F.col("n2")).cast("double")
