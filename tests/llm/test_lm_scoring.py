@@ -42,6 +42,12 @@ def test_attention_is_causal():
     assert np.allclose(a[:, :12], b[:, :12], atol=1e-5) and not np.allclose(a[:, 12:], b[:, 12:])
 
 
+def test_scoring_is_the_forward_pass():
+    _, w = small()
+    x = np.random.default_rng(5).integers(0, 300, (4, lm.WINDOW))
+    assert np.allclose(lm.class_scores(w, x), lm.forward(w, x)["z"], atol=1e-4)
+
+
 def test_windows_score_each_place_once():
     lengths = np.array([0, 1, 31, 32, 33, 56, 57, 1000, 0])
     row, start, skip = lm.windows(lengths)
