@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+from murmurlake.functions.shared import importable
 from murmurlake.functions.shared import written as written
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; a worker's memory follows from these, not from the data.
@@ -20,9 +20,7 @@ STEP_BYTES = 2 << 20
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that long documents don't add up in a worker, and let workers import this package."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
