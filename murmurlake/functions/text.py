@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 URL, MENTION, HASHTAG, RULE = r"https?://[^ \t\n\r]+|www\.[^ \t\n\r]+", r"@[A-Za-z0-9_]+", r"#([A-Za-z0-9_]+)", r"([ \t\n\r]*---)+[ \t\n\r]*$"
@@ -49,13 +49,24 @@ def for_comparison(text: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(_sub(text, (URL, " "), (MENTION, " "), (RULE, " "))), r"[^a-z \t\n\r-]", " "))
 
 
+def _lexical_parts(text: Column) -> Column:
+    plain = F.regexp_replace(F.lower(_sub(text, (URL, " "), (MENTION, " "), (HASHTAG, " $1 "), (RULE, " "))), r"[^a-z \t\n\r-]", " ")
+    return F.split(plain, r"[ \t\n\r]+")
+
+
 def lexical_tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 3) -> Column:
     """Words of a message for TF-IDF: hashtags are opened, hyphens at the ends go, short and stop words too."""
-    plain = F.regexp_replace(F.lower(_sub(text, (URL, " "), (MENTION, " "), (HASHTAG, " $1 "), (RULE, " "))), r"[^a-z \t\n\r-]", " ")
-    words = F.transform(F.split(plain, r"[ \t\n\r]+"), lambda w: F.btrim(w, F.lit("-")))
+    words = F.transform(_lexical_parts(text), lambda w: F.btrim(w, F.lit("-")))
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
+def lexical_words(df: DataFrame, text: str, columns: list[str], name: str = "word", stop: tuple[str, ...] = STOP_WORDS, least: int = 3) -> DataFrame:
+    """The same words, a row for each with ``columns`` beside it: filtered as rows, so in generated code."""
+    parts = df.select(*columns, F.explode(_lexical_parts(F.coalesce(text, F.lit("")))).alias("__part"))
+    words = parts.select(*columns, F.btrim("__part", F.lit("-")).alias(name))
+    return words.where((F.length(name) >= least) & ~F.col(name).isin(*stop))
+
+
 def phrase_tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 3, keep: tuple[str, ...] = ("us", "un", "eu", "uk"), clip: int | None = None) -> Column:
     """Words of a message for phrases, in order; ``keep`` are kept although short. ``clip`` cuts the text first."""
     text = F.left(text, F.lit(clip)) if clip else text

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurlake.functions.text import lexical_tokens
+from murmurlake.functions.shared import written
+from murmurlake.functions.text import lexical_tokens, lexical_words
 from murmurlake.functions.timegrid import period_index
 
 
@@ -42,8 +43,10 @@ def tfidf(counts: DataFrame, doc: str, features: int, docs: DataFrame | int) ->
 
 def period_tfidf(messages: DataFrame, periods: int = 4, features: int = 500) -> DataFrame:
     """Score of each term in each period, every period being one document; hyphenated words count by their parts."""
-    words = with_period(tokens(messages), periods).select("period", F.explode(F.flatten(F.transform("tokens", lambda w: F.split(w, "-")))).alias("term")).where("length(term) >= 2")
-    counts = words.groupBy("period", "term").agg(F.count("*").alias("n"))
+    words = lexical_words(messages, "text", ["timestamp"])
+    each = words.groupBy("timestamp", "word").agg(F.count("*").alias("c"))
+    parts = with_period(written(each, "words"), periods).select("period", "c", F.explode(F.split("word", "-")).alias("term")).where("length(term) >= 2")
+    counts = parts.groupBy("period", "term").agg(F.sum("c").alias("n"))
     return tfidf(counts, "period", features, periods).select(F.col("period").cast("bigint").alias("period"), "term", "n", F.round("score", 9).alias("score"))
 
 
