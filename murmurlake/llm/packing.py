@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmurlake.llm.common import prepare, written
+from murmurlake.llm.token_counts import RANKS_PATH, token_counts
 
-#: Tokens of a sequence; bytes that count as a token; cost of a token and of a pair of tokens in one document
-#: (attention's part of the work of a layer of width 2048).
-CAPACITY, BYTES_PER_TOKEN, LINEAR, QUADRATIC = 4096, 4, 1.0, 1.0 / (6 * 2048)
+#: Tokens of a sequence; cost of a token and of a pair of tokens in one document (attention's part of the work of a
+#: layer of width 2048).
+CAPACITY, LINEAR, QUADRATIC = 4096, 1.0, 1.0 / (6 * 2048)
 #: Pieces that are packed together; packings of so many are independent, whatever the input's size.
 GROUP_ROWS = 20_000
 
@@ -38,24 +39,23 @@ def assign(tokens: np.ndarray, capacity: int, linear: float = LINEAR, quadratic:
     return out
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, bytes_per_token: int) -> DataFrame:
-    """``doc_id, piece, first_token, n_tokens``: documents cut where they exceed a sequence. Computed in the JVM."""
-    tokens = F.ceil(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) / bytes_per_token).cast("bigint")
-    sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tokens.alias("tokens")).where("tokens > 0")
+def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, ranks_path: str) -> DataFrame:
+    """``doc_id, piece, first_token, n_tokens``: documents cut where they exceed a sequence."""
+    sized = token_counts(docs, id_col, text_col, ranks_path).withColumnRenamed("n_tokens", "tokens").where("tokens > 0")
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("tokens") - 1, F.lit(capacity).cast("bigint"))
     return sized.select("doc_id", "tokens", F.posexplode(starts).alias("piece", "first_token")).select("doc_id", "piece", "first_token", F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - F.col("first_token")).alias("n_tokens"))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, bytes_per_token: int = BYTES_PER_TOKEN, linear: float = LINEAR, quadratic: float = QUADRATIC, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row for each piece of each document: the sequence it is in, its place in the document, its estimated cost.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, group_rows: int = GROUP_ROWS, ranks_path: str = RANKS_PATH) -> DataFrame:
+    """One row for each piece of each document: the sequence it is in, its place in the document, its cost.
 
-    Tokens are estimated from the text's bytes. A text longer than ``capacity`` is cut into pieces of ``capacity`` and
-    a rest. Null and empty texts have no tokens, take no room and have no row. Pieces go by hash into groups of about
-    ``group_rows``, each packed on its own in descending order, ties by document and place, null ids last. Repeated
-    rows are packed each. An empty table gives an empty one; other columns are ignored. Only ids and counts are
-    shuffled."""
+    Tokens are counted over the whole text under the vocabulary at ``ranks_path``. A text longer than ``capacity`` is
+    cut into pieces of ``capacity`` and a rest. Null and empty texts have no tokens, take no room and have no row.
+    Pieces go by hash into groups of about ``group_rows``, each packed on its own in descending order, ties by document
+    and place, null ids last. Repeated rows are packed each. An empty table gives an empty one; other columns are
+    ignored. Only ids and counts are shuffled."""
     prepare(docs.sparkSession)
-    sized = written(pieces(docs, id_col, text_col, capacity, bytes_per_token), "pieces")
+    sized = written(pieces(docs, id_col, text_col, capacity, ranks_path), "pieces")
     groups = max(1, round(sized.count() / group_rows))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
