@@ -181,7 +181,7 @@ def blocks(layer: Layer) -> Iterator[tuple[Layer | None, tuple[int, int]]]:
 def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
     """``kind, start, end, depth, path, fingerprint`` of the secrets of a text and of all layers in it."""
     root = Layer(text, ())
-    work, seen, found = [root], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, {}
+    work, seen, found = [root], {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}, {}
     while work:
         layer = work.pop(0)
         for kind, pattern in _COMPILED.items():
@@ -197,8 +197,8 @@ def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
             else:
                 new.append(child)
         for child in new:
-            mark = hashlib.sha256(child.text.encode("utf-8", "surrogatepass")).digest()
-            if mark not in seen:  # what was met before holds nothing new; a cycle ends here
+            mark = (hashlib.sha256(child.text.encode("utf-8", "surrogatepass")).digest(), *child.at(0, len(child.text)))
+            if mark not in seen:  # what was met before at its place holds nothing new; a cycle ends here
                 seen.add(mark)
                 work.append(child)
     return sorted((kind, a, b, depth, path, mark) for (kind, a, b, mark), (depth, path) in found.items())
