@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,12 +28,15 @@ PATTERNS = {
     "assigned": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9+/_.~$!@#%^&*-]{8,})",
 }
 _COMPILED = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
-#: A decompressed layer beyond so many bytes isn't unpacked but reported as ``oversize_layer``.
-LAYER_BYTES = 32 << 20
+#: A decompressed layer beyond so many bytes is reported as ``oversize_layer`` and scanned in chunks that overlap.
+LAYER_BYTES, CHUNK_BYTES, OVERLAP_BYTES = 32 << 20, 1 << 20, 64 << 10
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u[0-9A-Fa-f]{4})+|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
+#: What any secret, or any encoding of one, stands in whole: characters that all are ASCII, 12 at least.
+_RUN = re.compile(rb"[\t\r\n\f\x20-\x7e]{12,}")
+_ODD = re.compile(rb"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 _PLAIN_WORD = re.compile(r"[A-Za-z]?[a-z]*\Z")
 _SOME_ESCAPE = r"%[0-9A-Fa-f]{2}|\\[uUx]"
 
@@ -140,67 +143,199 @@ def unpacked(raw: bytes) -> tuple[bytes | None, bool]:
     return (None, True) if len(out) > LAYER_BYTES else (out or None, False)
 
 
-def readable(raw: bytes) -> str | None:
+def inflated(source: Iterator[bytes]) -> Iterator[bytes]:
+    """Decompressed chunks of a stream, through as many compressions as it has; a damaged stream ends early."""
+    first = next(source, b"")
+    source = itertools.chain([first], source)
+    if first[:2] == b"\x1f\x8b" or (len(first) > 2 and first[0] & 15 == 8 and (first[0] << 8 | first[1]) % 31 == 0):
+        unpacker = zlib.decompressobj(47)
+    elif first[:3] == b"BZh":
+        import bz2
+
+        unpacker = bz2.BZ2Decompressor()
+    elif first[:6] == b"\xfd7zXZ\x00":
+        import lzma
+
+        unpacker = lzma.LZMADecompressor()
+    elif first[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        unpacker = None
+    else:
+        yield from source
+        return
+
+    def chunks() -> Iterator[bytes]:
+        try:
+            if unpacker is None:
+                feed = zstandard.ZstdDecompressor().decompressobj()
+                for data in source:  # by small parts, so that little is held at once
+                    for k in range(0, len(data), 4096):
+                        if out := feed.decompress(data[k : k + 4096]):
+                            yield out
+                return
+            for data in source:
+                while True:
+                    out = unpacker.decompress(data, CHUNK_BYTES)
+                    if out:
+                        yield out
+                    data = getattr(unpacker, "unconsumed_tail", b"")
+                    if unpacker.eof or not data and len(out) < CHUNK_BYTES:
+                        break
+                if unpacker.eof:
+                    return
+        except Exception:  # noqa: BLE001 - as in unpacked
+            return
+
+    yield from inflated(chunks())
+
+
+def overlapping(source: Iterator[bytes]) -> Iterator[bytes]:
+    """Chunks that begin and end at white space where there is any near, each with the end of the one before."""
+    held = b""
+    for data in source:
+        held += data
+        if len(held) < CHUNK_BYTES + OVERLAP_BYTES:
+            continue
+        space = max(held.rfind(c, len(held) - OVERLAP_BYTES) for c in (b" ", b"\n", b"\t"))
+        end = space if space >= 0 else len(held)
+        yield held[:end]
+        back = re.search(rb"\s", held[end - OVERLAP_BYTES : end])
+        held = held[end - OVERLAP_BYTES + (back.start() if back else 0) :]
+    if held:
+        yield held
+
+
+def clean(raw: bytes) -> str | None:
+    if not raw or _ODD.search(raw):
+        return None
     try:
-        text = raw.decode()
+        return raw.decode()
     except UnicodeDecodeError:
         return None
-    odd = sum(c < " " and c not in "\t\r\n\f" or c == "\x7f" for c in text)
-    return text if text and odd == 0 else None
 
 
-def blocks(layer: Layer) -> Iterator[tuple[Layer | None, tuple[int, int]]]:
-    """A layer for each base64 block that holds text or compressed text, or None for one that unpacks to too much."""
+def readable(raw: bytes) -> str | None:
+    """The bytes as text; of those that aren't, the runs of ASCII that may hold something."""
+    return clean(raw) or "\0".join(m.group().decode() for m in _RUN.finditer(raw)) or None
+
+
+def decoded(block: str) -> bytes:
+    return base64.b64decode(block[: len(block) - (len(block) % 4 == 1)] + "=" * (-len(block) % 4 % 3))
+
+
+def candidates(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of a match that may be one block: all of it, lines of one width with a shorter last one and without it,
+    single lines."""
+    if "\n" not in text[a:b]:
+        return [(a, b)]
+    lines = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^\r\n]+", text[a:b])]
+    out, first = [(a, b)], 0
+    for k in range(1, len(lines) + 1):
+        width = lines[first][1] - lines[first][0]
+        if k < len(lines) and lines[k][1] - lines[k][0] == width:
+            continue
+        if k < len(lines) and lines[k][1] - lines[k][0] < width:
+            out.append((lines[first][0], lines[k][1]))
+        out.append((lines[first][0], lines[k - 1][1]))
+        first = k
+    return list(dict.fromkeys(out + [x for x in lines if x[1] - x[0] >= 16]))
+
+
+def blocks(layer: Layer) -> Iterator[tuple[Layer | Iterator[Layer] | None, tuple[int, int]]]:
+    """A layer for each base64 block that holds text, compressed text or something that may be text, and for one that
+    unpacks to too much None and then its chunks."""
+
+    def unpack(raw: bytes, span: tuple[int, int]) -> Iterator[tuple[Layer | Iterator[Layer] | None, tuple[int, int]]]:
+        path, too_much = ("base64",), False
+        while True:
+            inner, too_much = unpacked(raw)
+            if inner is None or inner == raw or len(path) > 64:
+                break
+            raw, path = inner, (*path, "compressed")
+        if too_much:
+            yield None, span
+            texts = filter(None, map(readable, overlapping(inflated(iter([raw])))))
+            yield (Layer(text, (*layer.path, *path, "compressed"), parent=layer, span=span) for text in texts), span
+        elif (text := readable(raw)) is not None:
+            yield Layer(text, (*layer.path, *path), parent=layer, span=span), span
+
     for match in _BASE64.finditer(layer.text):
-        spans = [match.span()]
-        if "\n" in match.group():
-            spans += [(match.start() + m.start(), match.start() + m.end()) for m in re.finditer(r"[^\r\n]+", match.group())]
-        for a, b in spans:
-            block = re.sub(r"[\r\n=]", "", layer.text[a:b]).replace("-", "+").replace("_", "/")
-            # encoded text holds capitals or digits; without any beyond its first letter a block is a word
-            if _PLAIN_WORD.match(block) or len(block) % 4 == 1:
+        done, a, b = [], *match.span()
+        for x, y in (spans := candidates(layer.text, a, b)):
+            # a shorter last line without padding may be a word that only stands below the block: both are blocks then
+            if any(p <= x and y <= q and not (p == x and "\n" in layer.text[y:q] and "=" not in layer.text[y:q]) for p, q in done):
                 continue
-            try:
-                raw, path = base64.b64decode(block + "=" * (-len(block) % 4), validate=True), ("base64",)
-            except binascii.Error:
+            block = re.sub(r"[\r\n=]", "", layer.text[x:y]).replace("-", "+").replace("_", "/")
+            # encoded text holds capitals or digits; without any beyond its first letter a block is a word
+            if _PLAIN_WORD.match(block):
                 continue
-            too_much = False
-            while True:
-                inner, too_much = unpacked(raw)
-                if inner is None or inner == raw or len(path) > 64:
-                    break
-                raw, path = inner, (*path, "compressed")
-            if too_much:
-                yield None, (a, b)
-            elif (text := readable(raw)) is not None:
-                yield Layer(text, (*layer.path, *path), parent=layer, span=(a, b)), (a, b)
-                if (a, b) == match.span():
-                    break
+            raw = decoded(block)
+            if len(block) % 4 != 1 and (clean(raw) or unpacked(raw) != (None, False)):
+                done.append((x, y))
+                yield from unpack(raw, (x, y))
+        for x, y in [(a, b)] if not done else [s for s in spans if "\n" not in layer.text[s[0] : s[1]] and not any(p <= s[0] and s[1] <= q for p, q in done)]:
+            yield from inside(layer, x, y, unpack)
+
+
+def inside(layer: Layer, a: int, b: int, unpack) -> Iterator[tuple[Layer | Iterator[Layer] | None, tuple[int, int]]]:
+    """Layers of a block that is none from its beginning on: a path, a hyphen or an underscore may stand before it. For
+    each of the four ways to align it, what is text or compressed from a boundary on, else all of it with its odd bytes."""
+    places = [i for i in range(a, b) if layer.text[i] not in "\r\n="]
+    block = "".join(layer.text[i] for i in places).replace("-", "+").replace("_", "/")
+    if _PLAIN_WORD.match(block):
+        return
+    starts: dict[int, list[int]] = {0: [0]}
+    for m in re.finditer(r"[+/]", block):
+        if layer.text[places[m.start()]] != "+" and len(block) - m.end() >= 16:
+            starts.setdefault(m.end() % 4, []).append(m.end())
+    for at in starts.values():
+        raw, base = decoded(block[at[0] :]), at[0]
+        bad = max((m.end() for m in _ODD.finditer(raw)), default=0)
+        for k in at:
+            rest = (k - base) // 4 * 3
+            if rest >= bad and clean(raw[rest:]):
+                yield from unpack(raw[rest:], (places[k], b))
+                break
+            if unpacked(memoryview(raw)[rest:]) != (None, False):
+                yield from unpack(raw[rest:], (places[k], b))
+        else:
+            yield from unpack(raw, (places[base], b))
 
 
-def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
-    """``kind, start, end, depth, path, fingerprint`` of the secrets of a text and of all layers in it."""
-    root = Layer(text, ())
-    work, seen, found = [root], {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}, {}
+def explore(work: list[Layer | Iterator[Layer]], seen: set, found: dict) -> None:
+    """Work off layers and all that is in them; of an iterator of layers one after another."""
+
+    def new(layer: Layer) -> bool:
+        """What was met before at its place holds nothing new; a cycle ends here."""
+        mark = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), *layer.at(0, len(layer.text)))
+        return mark not in seen and (seen.add(mark) or True)
+
     while work:
         layer = work.pop(0)
+        if not isinstance(layer, Layer):
+            for chunk in layer:
+                if new(chunk):
+                    explore([chunk], seen, found)
+            continue
         for kind, pattern in _COMPILED.items():
             for match in pattern.finditer(layer.text):
                 group = match.lastindex or 0
                 start, end = layer.at(*match.span(group))
                 mark = hashlib.sha256(match.group(group).encode("utf-8", "surrogatepass")).hexdigest()[:16]
                 found.setdefault((kind, start, end, mark), (len(layer.path), "/".join(layer.path)))
-        new = [x for x in (in_place(layer, _URL, percents, "url"), in_place(layer, _UNICODE, escapes, "unicode")) if x]
+        work += [x for x in (in_place(layer, _URL, percents, "url"), in_place(layer, _UNICODE, escapes, "unicode")) if x and new(x)]
         for child, span in blocks(layer):
             if child is None:
                 found.setdefault(("oversize_layer", *layer.at(*span), ""), (len(layer.path) + 1, "/".join((*layer.path, "base64"))))
-            else:
-                new.append(child)
-        for child in new:
-            mark = (hashlib.sha256(child.text.encode("utf-8", "surrogatepass")).digest(), *child.at(0, len(child.text)))
-            if mark not in seen:  # what was met before at its place holds nothing new; a cycle ends here
-                seen.add(mark)
+            elif not isinstance(child, Layer) or new(child):
                 work.append(child)
+
+
+def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
+    """``kind, start, end, depth, path, fingerprint`` of the secrets of a text and of all layers in it."""
+    seen, found = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}, {}
+    explore([Layer(text, ())], seen, found)
     return sorted((kind, a, b, depth, path, mark) for (kind, a, b, mark), (depth, path) in found.items())
 
 
@@ -213,10 +348,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     a decoded block the block), how many layers down and by which decodings, and a fingerprint of its value.
 
     URL escapes and Unicode escapes are decoded over the whole layer, so what stands beside them counts too; base64
-    blocks (also URL-safe, also wrapped) that hold text, or compressed text, become layers of their own. A secret that
-    several layers show at the same place counts once, at the least depth. Null and empty texts have none; repeated
-    rows are reported each; a null id stays null; other columns are ignored; an empty table gives an empty one. A
-    block that unpacks beyond ``LAYER_BYTES`` is reported as ``oversize_layer``. Map only."""
+    blocks (also URL-safe, also wrapped, also behind a path) that hold text, or compressed text, become layers of their
+    own; of other bytes the runs of ASCII do. A secret that several layers show at the same place counts once, at the
+    least depth. Null and empty texts have none; repeated rows are reported each; a null id stays null; other columns
+    are ignored; an empty table gives an empty one. A block that unpacks beyond ``LAYER_BYTES`` is reported as
+    ``oversize_layer`` and scanned in chunks; an encoded block in it that is longer than ``OVERLAP_BYTES`` may be cut
+    between two. Map only."""
     prepare(docs.sparkSession)
     names = ["doc_id", "kind", "start", "end", "depth", "path", "fingerprint"]
 
