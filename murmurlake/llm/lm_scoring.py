@@ -19,8 +19,9 @@ from murmurlake.llm.token_counts import PATTERN, RANKS_PATH, load_ranks
 WINDOW, STRIDE = 32, 24
 #: Width of the model; most frequent ids with a vector of their own; classes of the output.
 WIDTH, OWN, CLASSES = 16, 1984, 64
-#: One window in so many trains; rounds of training with the parameters averaged after each; windows in a step; rate.
-SAMPLE, ROUNDS, BATCH, RATE = 24, 2, 64, 0.01
+#: Rounds of training on every window with the parameters averaged after each; windows in a step; rate, and that of a
+#: class's tree.
+ROUNDS, BATCH, RATE, TREE_RATE = 2, 64, 0.01, 0.1
 #: Windows that are scored together.
 TOGETHER = 128
 MEMO, MEMO_CHARS = 300_000, 48
@@ -74,6 +75,10 @@ class Vocabulary:
     kind: np.ndarray
     within: np.ndarray
     log_class: np.ndarray
+    first: np.ndarray
+    node: np.ndarray
+    right: np.ndarray
+    bias: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray, own: int, classes: int) -> Vocabulary:
@@ -86,7 +91,36 @@ class Vocabulary:
         total = np.bincount(kind, counts + 1.0, classes)
         bucket = kind + own
         bucket[order[:own]] = np.arange(min(own, len(order)))
-        return cls(bucket, kind, np.log((counts + 1.0) / total[kind]), np.log(np.maximum(total, 1.0) / total.sum()))
+        return cls(bucket, kind, np.log((counts + 1.0) / total[kind]), np.log(np.maximum(total, 1.0) / total.sum()), *tree(order, mass, kind[order]))
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``place, node, right``: the decisions that lead to each of the ids in its class; place is its index in ids."""
+        size = self.first[ids + 1] - self.first[ids]
+        place = np.repeat(np.arange(len(ids)), size)
+        at = np.arange(len(place)) + np.repeat(self.first[ids] - (np.cumsum(size) - size), size)
+        return place, self.node[at], self.right[at]
+
+
+def tree(order: np.ndarray, mass: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``first, node, right, bias``: a binary tree over each class's ids that halves the mass at each node. The nodes of
+    id i are ``node[first[i]:first[i + 1]]`` and whether it is on their right; by the biases alone, logits of going
+    right, an id has its share in the class. A node is known by the place where it cuts the order."""
+    n = len(order)
+    sums = np.append(0.0, np.cumsum(mass))
+    low, high = np.searchsorted(kind, kind, "left"), np.searchsorted(kind, kind, "right")
+    bias, parts = np.zeros(n, np.float32), []
+    at = np.flatnonzero(high - low > 1)
+    while len(at):
+        a, b = low[at], high[at]
+        cut = np.clip(np.searchsorted(sums, (sums[a] + sums[b]) / 2), a + 1, b - 1)
+        bias[cut] = np.log((sums[b] - sums[cut]) / (sums[cut] - sums[a]))
+        right = at >= cut
+        parts.append((order[at], cut, right))
+        low[at], high[at] = np.where(right, cut, a), np.where(right, b, cut)
+        at = at[high[at] - low[at] > 1]
+    ids, node, right = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    by = np.argsort(ids, kind="stable")
+    return np.searchsorted(ids[by], np.arange(n + 1)), node[by], right[by], bias
 
 
 def initial(vocabulary: Vocabulary, own: int, classes: int, width: int) -> dict[str, np.ndarray]:
@@ -134,8 +168,8 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     return {"x": x, "a": a, "a_scale": a_scale, "q": q, "k": k, "v": v, "weight": weight, "total": total, "mixed": mixed, "b": b, "b_scale": b_scale, "z": b @ w["u"] + w["c"]}
 
 
-def class_scores(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The class scores of ``forward`` alone: a product of two projections is one projection, made once."""
+def hidden(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """What ``forward`` scores the classes by: a product of two projections is one projection, made once."""
     t = x.shape[1]
     a, _ = _norm(w["e"][x] + w["p"][:t])
     raw = np.matmul(a @ (w["q"] @ w["k"].T * np.float32(1 / np.sqrt(a.shape[-1]))), a.transpose(0, 2, 1))
@@ -144,7 +178,17 @@ def class_scores(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     mixed = np.matmul(weight, a @ (w["v"] @ w["o"]))
     mixed /= weight.sum(-1, keepdims=True)
     mixed += a
-    return _norm(mixed)[0] @ w["u"] + w["c"]
+    return _norm(mixed)[0]
+
+
+def class_scores(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The class scores of ``forward`` alone."""
+    return hidden(w, x) @ w["u"] + w["c"]
+
+
+def path_logits(w: dict[str, np.ndarray], b: np.ndarray, place: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Logits of going right at each node, given the context ``b[place]``."""
+    return np.clip(np.einsum("ij,ij->i", b[place], w["n"][node]) + w["nb"][node], -60, 60)
 
 
 def log_chance(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +198,10 @@ def log_chance(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, np.log(e.sum(-1))
 
 
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss in nats over the places in ``use`` whose next class is ``y``, and its gradients."""
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray, path: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss in nats over the places in ``use`` whose next class is ``y``, and its gradients. With the ``path`` of
+    each next id in its class (for flat places in ``use``) the loss is that of the ids, and ``n``, ``nb`` have a
+    gradient for each of the nodes ``at``."""
     f = forward(w, x)
     e, total = log_chance(f["z"])
     count = max(1, int(use.sum()))
@@ -166,7 +212,19 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.nd
     dz = dz.astype(np.float32)
     flat = lambda m: m.reshape(-1, m.shape[-1])
     g = {"u": flat(f["b"]).T @ flat(dz), "c": flat(dz).sum(0)}
-    dh = _norm_back(f["b"], f["b_scale"], dz @ w["u"].T)
+    db = dz @ w["u"].T
+    if path is not None:
+        place, node, right = path
+        b = flat(f["b"])
+        logit = path_logits(w, b, place, node)
+        loss += float(np.logaddexp(0, np.where(right, -logit, logit)).sum() / count)
+        d = ((1 / (1 + np.exp(-logit)) - right) / count).astype(b.dtype)
+        g["at"], at = np.unique(node, return_inverse=True)
+        wide = lambda k, m, rows: np.bincount((k[:, None] * m.shape[1] + np.arange(m.shape[1])).ravel(), m.ravel(), rows * m.shape[1]).reshape(rows, m.shape[1]).astype(b.dtype)
+        g["n"] = wide(at, d[:, None] * b[place], len(g["at"]))
+        g["nb"] = np.bincount(at, d, len(g["at"])).astype(b.dtype)
+        db = db + wide(place, d[:, None] * w["n"][node], len(b)).reshape(db.shape)
+    dh = _norm_back(f["b"], f["b_scale"], db)
     g["o"] = flat(f["mixed"]).T @ flat(dh)
     d_mixed = dh @ w["o"].T
     chance = f["weight"] / f["total"]
@@ -230,6 +288,15 @@ def packed_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), np.uint16).astype(np.int64), (at - at[0]) // 2
 
 
+def within_class(w: dict[str, np.ndarray], vocabulary: Vocabulary, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Log chance of each id in its class given its context; without trees the id's share in the corpus."""
+    if "n" not in w:
+        return vocabulary.within[ids]
+    place, node, right = vocabulary.paths(ids)
+    logit = path_logits(w, b, place, node)
+    return -np.bincount(place, np.logaddexp(0, np.where(right, -logit, logit)), len(ids))
+
+
 def score_ids(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Log chance of each row's ids, each scored once."""
     row, start, skip = windows(np.diff(offsets))
@@ -237,11 +304,14 @@ def score_ids(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray,
     for a in range(0, len(row), TOGETHER):
         r, s = row[a : a + TOGETHER], start[a : a + TOGETHER]
         x, target, inside = cut(ids, offsets, r, s, vocabulary)
-        z = class_scores(w, x)
+        b = hidden(w, x)
+        z = b @ w["u"] + w["c"]
         kind = vocabulary.kind[target]
         _, total = log_chance(z)
-        chance = np.take_along_axis(z, kind[..., None], -1)[..., 0] - total + vocabulary.within[target]
-        chance *= inside & (np.arange(WINDOW) >= skip[a : a + TOGETHER, None])
+        chance = np.take_along_axis(z, kind[..., None], -1)[..., 0] - total
+        use = inside & (np.arange(WINDOW) >= skip[a : a + TOGETHER, None])
+        chance *= use
+        chance[use] += within_class(w, vocabulary, b[use], target[use])
         out += np.bincount(r, chance.sum(1), len(out))
     return out
 
@@ -261,31 +331,33 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 def train_part(batches: Iterator[np.ndarray], w: dict[str, np.ndarray], vocabulary: Vocabulary) -> tuple[int, dict[str, np.ndarray]]:
     """Windows trained on and the parameters after a pass over batches of ``ids, offsets``."""
     w = {k: x.copy() for k, x in w.items()}
-    adam, seen, held = Adam(w, RATE), 0, []
-
-    def step(x, y, use):
-        adam.step(w, gradients(w, x, y, use.astype(np.float32))[1])
+    adam, seen, held = Adam({k: x for k, x in w.items() if k not in ("n", "nb")}, RATE), 0, []
+    squares = np.full((len(w["n"]), w["n"].shape[1] + 1), 1e-8, np.float32)
+
+    def step(x, target, use):
+        place, node, right = vocabulary.paths(target[use])
+        _, g = gradients(w, x, vocabulary.kind[target], use.astype(np.float32), (np.flatnonzero(use)[place], node, right))
+        at, n, nb = g.pop("at"), g.pop("n"), g.pop("nb")
+        adam.step(w, g)
+        both = np.column_stack([n, nb])  # only the nodes on the way to these ids move
+        squares[at] += both * both
+        both *= np.float32(TREE_RATE) / np.sqrt(squares[at])
+        w["n"][at] -= both[:, :-1]
+        w["nb"][at] -= both[:, -1]
 
     for ids, offsets in batches:
         row, start, _ = windows(np.diff(offsets))
-        if not len(row):
-            continue
-        # whether a window trains follows from what it holds, not from where it stands in the table
-        first = offsets[row] + start
-        mark = ids[first] * 31 + ids[np.minimum(first + 1, offsets[row + 1] - 1)] * 17 + start + np.diff(offsets)[row]
-        pick = np.flatnonzero(mark % SAMPLE == 0)
-        x, target, inside = cut(ids, offsets, row[pick], start[pick], vocabulary)
-        held.append((x, vocabulary.kind[target], inside))
-        if sum(len(h[0]) for h in held) >= BATCH:
-            x, y, use = (np.concatenate(z) for z in zip(*held))
-            full = len(x) // BATCH * BATCH
-            for a in range(0, full, BATCH):
-                step(x[a : a + BATCH], y[a : a + BATCH], use[a : a + BATCH])
-            seen += full
-            held = [(x[full:], y[full:], use[full:])]
+        for a in range(0, len(row), BATCH):
+            held.append(cut(ids, offsets, row[a : a + BATCH], start[a : a + BATCH], vocabulary))
+            if sum(len(h[0]) for h in held) < BATCH:
+                continue
+            x, target, inside = (np.concatenate(z) for z in zip(*held))
+            step(x[:BATCH], target[:BATCH], inside[:BATCH])
+            seen += BATCH
+            held = [(x[BATCH:], target[BATCH:], inside[BATCH:])]
     if held and sum(len(h[0]) for h in held):
-        x, y, use = (np.concatenate(z) for z in zip(*held))
-        step(x, y, use)
+        x, target, inside = (np.concatenate(z) for z in zip(*held))
+        step(x, target, inside)
         seen += len(x)
     return seen, w
 
@@ -293,10 +365,10 @@ def train_part(batches: Iterator[np.ndarray], w: dict[str, np.ndarray], vocabula
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS_PATH) -> DataFrame:
     """``doc_id, n_tokens, log_chance, perplexity`` for each row of ``docs`` under a model trained on ``docs`` itself.
 
-    Ids are counted over all documents. One window in ``SAMPLE`` of every document trains a single-head causal
-    attention model: each partition trains on its own windows from the common parameters, and these are averaged by
-    the windows seen, for ``ROUNDS`` rounds. An id's chance is its class's under the model times its share in the
-    class. Every id of every text is then scored once, in windows that overlap so that later ones have context.
+    Ids are counted over all documents. Every window of every document trains a single-head causal attention
+    model: each partition trains on its own windows from the common parameters, and these are averaged by the windows
+    seen, for ``ROUNDS`` rounds. An id's chance is its class's times that of each turn on its way down the class's
+    binary tree, all given the context. Every id of every text is then scored once, in windows that overlap so that later ones have context.
 
     Null and empty texts have no ids: chance 0 (log) and no perplexity. Repeated rows train and score each; a null id
     stays null; other columns are ignored; an empty table gives an empty one."""
@@ -326,23 +398,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks
     counts = np.zeros(size)
     counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     vocabulary = Vocabulary.of(counts, OWN, CLASSES)
-    w = initial(vocabulary, OWN, CLASSES, WIDTH)
+    w = initial(vocabulary, OWN, CLASSES, WIDTH) | {"n": np.zeros((size, WIDTH), np.float32), "nb": vocabulary.bias}
 
     def training(now: dict[str, np.ndarray]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen, after = train_part((packed_ids(b.column(0)) for b in batches), now, vocabulary)
             if seen:
-                values = flat_parameters(after).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * seen), pa.array(np.full(len(values), seen))], ["at", "value", "seen"])
+                change = flat_parameters(after).astype(np.float64) - flat_parameters(now)
+                moved = np.flatnonzero(change)  # nodes that no id of this part leads to stay and aren't sent
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(moved, -1)), pa.array(np.append(change[moved] * seen, seen))], ["at", "value"])
 
         return run
 
     for _ in range(ROUNDS):
-        parts = table.select("ids").mapInArrow(training(w), "at bigint, value double, seen bigint")
-        mean = parts.groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toArrow()
-        if mean.num_rows:
-            values = np.empty(mean.num_rows)
-            values[mean.column(0).to_numpy()] = mean.column(1).to_numpy()
+        parts = table.select("ids").mapInArrow(training(w), "at bigint, value double")
+        sums = parts.groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        if sums.num_rows:
+            at, value = sums.column(0).to_numpy(), sums.column(1).to_numpy()
+            values = flat_parameters(w).astype(np.float64)
+            values[at[at >= 0]] += value[at >= 0] / value[at < 0]
             w = unflat(values, w)
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
