@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from murmurlake.functions.shared import importable
 from murmurlake.functions.shared import written as written
@@ -48,6 +50,39 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         row = min(end, n)
 
 
+#: Schema of vectors to be added up, and how many a task adds in one step of the tree.
+VECTOR, FAN = "part int, values binary", 16
+
+
+def vector(values: np.ndarray) -> pa.RecordBatch:
+    """A partition's float32 vector as its one row."""
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["part", "values"])
+
+
+def summed(parts: DataFrame) -> np.ndarray | None:
+    """Sum of the vectors of partitions (``VECTOR``, at most one row each), ``FAN`` to a task and level by level, so
+    that neither a task nor the driver ever holds more than two; None if there are none.
+
+    Rows are added in the order of their partitions, so a task that is repeated gives the same."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column(1):
+                values = np.frombuffer(raw.as_buffer(), np.float32)
+                total = values.copy() if total is None else np.add(total, values, out=total)
+        if total is not None:
+            yield vector(total)
+
+    n = parts.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // FAN)
+        parts = parts.repartition(n, F.floor(F.col("part") / FAN)).sortWithinPartitions("part").mapInArrow(add, VECTOR)
+    rows = parts.collect()
+    return np.frombuffer(rows[0]["values"], np.float32) if rows else None
+
+
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

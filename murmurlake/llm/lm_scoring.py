@@ -12,16 +12,16 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.llm.common import prepare, written
+from murmurlake.llm.common import VECTOR, prepare, summed, vector, written
 from murmurlake.llm.token_counts import PATTERN, RANKS_PATH, load_ranks
 
 #: Places of a window and how far the next one is: all but the first ``WINDOW - STRIDE`` of a later window are scored.
 WINDOW, STRIDE = 32, 24
 #: Width of the model; most frequent ids with a vector of their own; classes of the output.
 WIDTH, OWN, CLASSES = 16, 1984, 64
-#: Rounds of training on every window with the parameters averaged after each; windows in a step; rate, and that of a
+#: Rounds of training on every id with the parameters averaged after each; windows in a step; rate, and that of a
 #: class's tree.
-ROUNDS, BATCH, RATE, TREE_RATE = 2, 64, 0.01, 0.1
+ROUNDS, BATCH, RATE, TREE_RATE = 1, 128, 0.01, 0.1
 #: Windows that are scored together.
 TOGETHER = 128
 MEMO, MEMO_CHARS = 300_000, 48
@@ -94,11 +94,16 @@ class Vocabulary:
         return cls(bucket, kind, np.log((counts + 1.0) / total[kind]), np.log(np.maximum(total, 1.0) / total.sum()), *tree(order, mass, kind[order]))
 
     def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``place, node, right``: the decisions that lead to each of the ids in its class; place is its index in ids."""
-        size = self.first[ids + 1] - self.first[ids]
-        place = np.repeat(np.arange(len(ids)), size)
-        at = np.arange(len(place)) + np.repeat(self.first[ids] - (np.cumsum(size) - size), size)
-        return place, self.node[at], self.right[at]
+        """``place, node, right``: the decisions that lead to each of the ids in its class, the first ones of all ids,
+        then the second ones and so on; place is an id's index in ids."""
+        first = self.first[ids]
+        size = self.first[ids + 1] - first
+        place, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for level in range(int(size.max(initial=0))):
+            place.append(np.flatnonzero(size > level))
+            at.append(first[place[-1]] + level)
+        at = np.concatenate(at)
+        return np.concatenate(place), self.node[at], self.right[at]
 
 
 def tree(order: np.ndarray, mass: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,34 +155,41 @@ def _norm_back(y: np.ndarray, scale: np.ndarray, dy: np.ndarray) -> np.ndarray:
     return (dy - y * (dy * y).mean(-1, keepdims=True)) * scale
 
 
+def attend(weight_of: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Attention scores to masked exponentials, in place; they are kept small enough to need no shift."""
+    weight = np.exp(np.clip(weight_of, -30, 30, out=weight_of), out=weight_of)
+    weight *= mask
+    return weight
+
+
 def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     """Of windows of input buckets: the class scores at every place, each from that place and those before it, all
     windows and places at once under one causal mask."""
     n, t = x.shape
-    s = w["e"][x] + w["p"][:t]
-    a, a_scale = _norm(s)
-    q, k, v = a @ w["q"], a @ w["k"], a @ w["v"]
-    # scores are kept small enough to need no shift before they are exponentiated
-    raw = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(1 / np.sqrt(q.shape[-1]))
-    weight = np.exp(np.clip(raw, -30, 30, out=raw))
-    weight *= _MASK[:t, :t]
+    width = w["e"].shape[1]
+    a, a_scale = _norm(w["e"].take(x, 0) + w["p"][:t])
+    # one product makes queries (with the scale of the scores), keys and values
+    qkv = (a.reshape(-1, width) @ np.concatenate([w["q"] * a.dtype.type(1 / np.sqrt(width)), w["k"], w["v"]], 1)).reshape(n, t, -1)
+    q, k, v = (qkv[..., i * width : (i + 1) * width] for i in range(3))
+    weight = attend(np.matmul(q, k.transpose(0, 2, 1)), _MASK[:t, :t])
     total = weight.sum(-1, keepdims=True)
     mixed = np.matmul(weight, v) / total
-    h = a + mixed @ w["o"]
+    h = a + (mixed.reshape(-1, width) @ w["o"]).reshape(a.shape)
     b, b_scale = _norm(h)
-    return {"x": x, "a": a, "a_scale": a_scale, "q": q, "k": k, "v": v, "weight": weight, "total": total, "mixed": mixed, "b": b, "b_scale": b_scale, "z": b @ w["u"] + w["c"]}
-
-
-def hidden(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """What ``forward`` scores the classes by: a product of two projections is one projection, made once."""
-    t = x.shape[1]
-    a, _ = _norm(w["e"][x] + w["p"][:t])
-    raw = np.matmul(a @ (w["q"] @ w["k"].T * np.float32(1 / np.sqrt(a.shape[-1]))), a.transpose(0, 2, 1))
-    weight = np.exp(np.clip(raw, -30, 30, out=raw), out=raw)
-    weight *= _MASK[:t, :t]
-    mixed = np.matmul(weight, a @ (w["v"] @ w["o"]))
+    return {"a": a, "a_scale": a_scale, "q": q, "k": k, "v": v, "weight": weight, "total": total, "mixed": mixed, "b": b, "b_scale": b_scale, "z": (b.reshape(-1, width) @ w["u"] + w["c"]).reshape(n, t, -1)}
+
+
+def hidden(w: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> np.ndarray:
+    """What ``forward`` scores the classes by, at the places from ``skip`` on: a product of two projections is one
+    projection, made once."""
+    t, width = x.shape[1], w["e"].shape[1]
+    a, _ = _norm(w["e"].take(x, 0) + w["p"][:t])
+    late = a[:, skip:]
+    key = w["q"] @ w["k"].T * a.dtype.type(1 / np.sqrt(width))
+    weight = attend(np.matmul((late.reshape(-1, width) @ key).reshape(late.shape), a.transpose(0, 2, 1)), _MASK[skip:t, :t])
+    mixed = np.matmul(weight, (a.reshape(-1, width) @ (w["v"] @ w["o"])).reshape(a.shape))
     mixed /= weight.sum(-1, keepdims=True)
-    mixed += a
+    mixed += late
     return _norm(mixed)[0]
 
 
@@ -188,14 +200,22 @@ def class_scores(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def path_logits(w: dict[str, np.ndarray], b: np.ndarray, place: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Logits of going right at each node, given the context ``b[place]``."""
-    return np.clip(np.einsum("ij,ij->i", b[place], w["n"][node]) + w["nb"][node], -60, 60)
+    return np.clip(np.einsum("ij,ij->i", b.take(place, 0), w["n"].take(node, 0)) + w["nb"].take(node), -60, 60)
 
 
 def log_chance(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of class scores and the logarithm of their sum."""
     e = np.clip(z, -60, 60)
     np.exp(e, out=e)
-    return e, np.log(e.sum(-1))
+    return e, np.log(e @ np.ones(e.shape[-1], e.dtype))
+
+
+def scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows`` by their place in an array of ``size`` rows, a column at a time."""
+    out = np.zeros((rows.shape[1], size), rows.dtype)
+    for total, column in zip(out, np.ascontiguousarray(rows.T)):
+        np.add.at(total, at, column)
+    return out.T
 
 
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray, path: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
@@ -203,44 +223,55 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.nd
     each next id in its class (for flat places in ``use``) the loss is that of the ids, and ``n``, ``nb`` have a
     gradient for each of the nodes ``at``."""
     f = forward(w, x)
-    e, total = log_chance(f["z"])
-    count = max(1, int(use.sum()))
-    loss = float(((total - np.take_along_axis(f["z"], y[..., None], -1)[..., 0]) * use).sum() / count)
-    dz = e / e.sum(-1, keepdims=True)
-    np.put_along_axis(dz, y[..., None], np.take_along_axis(dz, y[..., None], -1) - 1, -1)
-    dz *= (use / count)[..., None]
-    dz = dz.astype(np.float32)
+    kind = f["b"].dtype
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"u": flat(f["b"]).T @ flat(dz), "c": flat(dz).sum(0)}
-    db = dz @ w["u"].T
+    b, z = flat(f["b"]), flat(f["z"])
+    y, use = y.ravel(), use.ravel().astype(kind)
+    own = np.arange(len(y)) * z.shape[1] + y
+    count = max(1, int(use.sum()))
+    e, total = log_chance(z)
+    loss = float((total - z.ravel().take(own)) @ use / count)
+    e *= (use / kind.type(count) / np.exp(total))[:, None]
+    e.ravel()[own] -= use / kind.type(count)
+    g = {"u": b.T @ e, "c": np.ones(len(e), kind) @ e}
+    db = e @ w["u"].T
     if path is not None:
         place, node, right = path
-        b = flat(f["b"])
-        logit = path_logits(w, b, place, node)
-        loss += float(np.logaddexp(0, np.where(right, -logit, logit)).sum() / count)
-        d = ((1 / (1 + np.exp(-logit)) - right) / count).astype(b.dtype)
-        g["at"], at = np.unique(node, return_inverse=True)
-        wide = lambda k, m, rows: np.bincount((k[:, None] * m.shape[1] + np.arange(m.shape[1])).ravel(), m.ravel(), rows * m.shape[1]).reshape(rows, m.shape[1]).astype(b.dtype)
-        g["n"] = wide(at, d[:, None] * b[place], len(g["at"]))
-        g["nb"] = np.bincount(at, d, len(g["at"])).astype(b.dtype)
-        db = db + wide(place, d[:, None] * w["n"][node], len(b)).reshape(db.shape)
-    dh = _norm_back(f["b"], f["b_scale"], db)
+        near, turn = b.take(place, 0), w["n"].take(node, 0)
+        logit = np.clip(np.einsum("ij,ij->i", near, turn) + w["nb"].take(node), -60, 60)
+        up = 1 / (1 + np.exp(-logit))
+        loss -= float(np.log(np.where(right, up, 1 - up) + kind.type(1e-30)).sum() / count)
+        d = (up - right) / kind.type(count)
+        flag = np.zeros(len(w["nb"]), bool)
+        flag[node] = True
+        g["at"] = np.flatnonzero(flag)
+        number = np.cumsum(flag) - 1
+        here = number.take(node)
+        near *= d[:, None]
+        g["n"], g["nb"] = scatter(here, near, len(g["at"])), scatter(here, d[:, None], len(g["at"]))[:, 0]
+        turn *= d[:, None]
+        again = np.flatnonzero(np.diff(place) <= 0) + 1  # between these each place occurs once
+        for level, part in zip(np.split(place, again), np.split(turn, again)):
+            db[level] += part
+    dh = _norm_back(f["b"], f["b_scale"], db.reshape(f["b"].shape))
     g["o"] = flat(f["mixed"]).T @ flat(dh)
-    d_mixed = dh @ w["o"].T
-    chance = f["weight"] / f["total"]
-    dv = np.matmul(chance.transpose(0, 2, 1), d_mixed)
-    d_chance = np.matmul(d_mixed, f["v"].transpose(0, 2, 1))
-    d_raw = chance * (d_chance - (d_chance * chance).sum(-1, keepdims=True)) * np.float32(1 / np.sqrt(f["q"].shape[-1]))
-    dq, dk = np.matmul(d_raw, f["k"]), np.matmul(d_raw.transpose(0, 2, 1), f["q"])
-    a = flat(f["a"])
-    g["q"], g["k"], g["v"] = a.T @ flat(dq), a.T @ flat(dk), a.T @ flat(dv)
-    da = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    d_mixed = (flat(dh) @ w["o"].T).reshape(dh.shape)
+    chance = f["weight"]
+    chance /= f["total"]
+    d_raw = np.matmul(d_mixed, f["v"].transpose(0, 2, 1))
+    # the mean of an attention's gradients is the product of what it mixed
+    d_raw -= np.einsum("ijk,ijk->ij", d_mixed, f["mixed"])[..., None]
+    d_raw *= chance
+    d_qkv = np.concatenate([np.matmul(d_raw, f["k"]), np.matmul(d_raw.transpose(0, 2, 1), f["q"]), np.matmul(chance.transpose(0, 2, 1), d_mixed)], -1)
+    width = w["e"].shape[1]
+    g_qkv = flat(f["a"]).T @ flat(d_qkv)
+    scale = kind.type(1 / np.sqrt(width))
+    g["q"], g["k"], g["v"] = g_qkv[:, :width] * scale, g_qkv[:, width : 2 * width], g_qkv[:, 2 * width :]
+    da = dh + (flat(d_qkv) @ np.concatenate([w["q"] * scale, w["k"], w["v"]], 1).T).reshape(dh.shape)
     ds = _norm_back(f["a"], f["a_scale"], da)
     g["p"] = np.zeros_like(w["p"])
     g["p"][: x.shape[1]] = ds.sum(0)
-    rows, width = w["e"].shape
-    at = (x.reshape(-1, 1) * width + np.arange(width)).ravel()
-    g["e"] = np.bincount(at, flat(ds).ravel(), rows * width).reshape(rows, width).astype(np.float32)
+    g["e"] = scatter(x.ravel(), flat(ds), len(w["e"]))
     return loss, g
 
 
@@ -258,13 +289,13 @@ class Adam:
             w[k] -= np.float32(self.rate) * (self.m[k] / np.float32(1 - 0.9**self.t)) / (np.sqrt(self.s[k] / np.float32(1 - 0.98**self.t)) + np.float32(1e-6))
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``row, start, skip`` of the windows over rows of so many ids: the first ``skip`` places of a window were scored
-    by the one before, so every place is scored by exactly one window."""
-    count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE)), 0)
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, start, skip`` of the windows over rows of so many ids: the first ``skip`` places of a window are in the
+    one before too, so beyond them every place is in exactly one window."""
+    count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // stride)), 0)
     row = np.repeat(np.arange(len(lengths)), count)
     number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, number * STRIDE, np.where(number > 0, WINDOW - STRIDE, 0)
+    return row, number * stride, np.where(number > 0, WINDOW - stride, 0)
 
 
 def cut(ids: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,25 +325,26 @@ def within_class(w: dict[str, np.ndarray], vocabulary: Vocabulary, b: np.ndarray
         return vocabulary.within[ids]
     place, node, right = vocabulary.paths(ids)
     logit = path_logits(w, b, place, node)
-    return -np.bincount(place, np.logaddexp(0, np.where(right, -logit, logit)), len(ids))
+    np.negative(logit, out=logit, where=right)
+    return -np.bincount(place, np.log(1 + np.exp(logit)), len(ids))
 
 
 def score_ids(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Log chance of each row's ids, each scored once."""
+    """Log chance of each row's ids, each scored once: what a window shares with the one before is only its context."""
     row, start, skip = windows(np.diff(offsets))
     out = np.zeros(len(offsets) - 1)
-    for a in range(0, len(row), TOGETHER):
-        r, s = row[a : a + TOGETHER], start[a : a + TOGETHER]
-        x, target, inside = cut(ids, offsets, r, s, vocabulary)
-        b = hidden(w, x)
-        z = b @ w["u"] + w["c"]
-        kind = vocabulary.kind[target]
-        _, total = log_chance(z)
-        chance = np.take_along_axis(z, kind[..., None], -1)[..., 0] - total
-        use = inside & (np.arange(WINDOW) >= skip[a : a + TOGETHER, None])
-        chance *= use
-        chance[use] += within_class(w, vocabulary, b[use], target[use])
-        out += np.bincount(r, chance.sum(1), len(out))
+    for unscored in np.unique(skip):
+        of = np.flatnonzero(skip == unscored)
+        for a in range(0, len(of), TOGETHER):
+            r = row[of[a : a + TOGETHER]]
+            x, target, inside = cut(ids, offsets, r, start[of[a : a + TOGETHER]], vocabulary)
+            use = inside[:, unscored:]
+            b = hidden(w, x, unscored)[use]
+            target = target[:, unscored:][use]
+            z = b @ w["u"] + w["c"]
+            own = z.ravel().take(np.arange(len(z)) * z.shape[1] + vocabulary.kind[target])
+            chance = own - log_chance(z)[1] + within_class(w, vocabulary, b, target)
+            out += np.bincount(np.repeat(r, use.sum(1)), chance, len(out))
     return out
 
 
@@ -329,14 +361,15 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def train_part(batches: Iterator[np.ndarray], w: dict[str, np.ndarray], vocabulary: Vocabulary) -> tuple[int, dict[str, np.ndarray]]:
-    """Windows trained on and the parameters after a pass over batches of ``ids, offsets``."""
+    """Windows trained on and the parameters after a pass over batches of ``ids, offsets``; every id is in one window."""
     w = {k: x.copy() for k, x in w.items()}
-    adam, seen, held = Adam({k: x for k, x in w.items() if k not in ("n", "nb")}, RATE), 0, []
+    adam, seen = Adam({k: x for k, x in w.items() if k not in ("n", "nb")}, RATE), 0
     squares = np.full((len(w["n"]), w["n"].shape[1] + 1), 1e-8, np.float32)
+    held: list[tuple[np.ndarray, ...]] = []
 
     def step(x, target, use):
         place, node, right = vocabulary.paths(target[use])
-        _, g = gradients(w, x, vocabulary.kind[target], use.astype(np.float32), (np.flatnonzero(use)[place], node, right))
+        _, g = gradients(w, x, vocabulary.kind[target], use, (np.flatnonzero(use)[place], node, right))
         at, n, nb = g.pop("at"), g.pop("n"), g.pop("nb")
         adam.step(w, g)
         both = np.column_stack([n, nb])  # only the nodes on the way to these ids move
@@ -346,18 +379,18 @@ def train_part(batches: Iterator[np.ndarray], w: dict[str, np.ndarray], vocabula
         w["nb"][at] -= both[:, -1]
 
     for ids, offsets in batches:
-        row, start, _ = windows(np.diff(offsets))
-        for a in range(0, len(row), BATCH):
-            held.append(cut(ids, offsets, row[a : a + BATCH], start[a : a + BATCH], vocabulary))
-            if sum(len(h[0]) for h in held) < BATCH:
-                continue
-            x, target, inside = (np.concatenate(z) for z in zip(*held))
-            step(x[:BATCH], target[:BATCH], inside[:BATCH])
-            seen += BATCH
-            held = [(x[BATCH:], target[BATCH:], inside[BATCH:])]
-    if held and sum(len(h[0]) for h in held):
-        x, target, inside = (np.concatenate(z) for z in zip(*held))
-        step(x, target, inside)
+        row, start, _ = windows(np.diff(offsets), WINDOW)
+        a = 0
+        while a < len(row):
+            need = BATCH - sum(len(h[0]) for h in held)
+            held.append(cut(ids, offsets, row[a : a + need], start[a : a + need], vocabulary))
+            a += need
+            if sum(len(h[0]) for h in held) == BATCH:
+                step(*(np.concatenate(z) for z in zip(*held)))
+                seen, held = seen + BATCH, []
+    if held:
+        x, target, use = (np.concatenate(z) for z in zip(*held))
+        step(x, target, use)
         seen += len(x)
     return seen, w
 
@@ -404,20 +437,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen, after = train_part((packed_ids(b.column(0)) for b in batches), now, vocabulary)
             if seen:
-                change = flat_parameters(after).astype(np.float64) - flat_parameters(now)
-                moved = np.flatnonzero(change)  # nodes that no id of this part leads to stay and aren't sent
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(moved, -1)), pa.array(np.append(change[moved] * seen, seen))], ["at", "value"])
+                change = (flat_parameters(after) - flat_parameters(now)) * np.float32(seen)
+                yield vector(np.append(change, np.float32(seen)))
 
         return run
 
     for _ in range(ROUNDS):
-        parts = table.select("ids").mapInArrow(training(w), "at bigint, value double")
-        sums = parts.groupBy("at").agg(F.sum("value").alias("value")).toArrow()
-        if sums.num_rows:
-            at, value = sums.column(0).to_numpy(), sums.column(1).to_numpy()
-            values = flat_parameters(w).astype(np.float64)
-            values[at[at >= 0]] += value[at >= 0] / value[at < 0]
-            w = unflat(values, w)
+        total = summed(table.select("ids").mapInArrow(training(w), VECTOR))
+        if total is not None:
+            w = unflat(flat_parameters(w) + total[:-1] / total[-1], w)
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
