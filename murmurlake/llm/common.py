@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlake.functions.shared import importable
+from murmurlake.functions.shared import SENT_BYTES, importable
+from murmurlake.functions.shared import dropped as dropped
 from murmurlake.functions.shared import written as written
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; a worker's memory follows from these, not from the data.
@@ -27,6 +28,35 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, drawn out until no column has it (Spark doesn't tell capitals from small letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sent_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table with a broadcast hint if its rows, which are counted, add up to ``SENT_BYTES`` at most; beyond
+    that Spark plans a join of both sides by key."""
+    return F.broadcast(table) if table.count() * row_bytes <= SENT_BYTES else table
+
+
+class Recent:
+    """Hashes that a task met lately, in a table of fixed size: what it has forgotten is sent again, which costs a row
+    and changes nothing. Copies that stand in one partition so leave it once."""
+
+    def __init__(self, bits: int = 20):
+        self.shift, self.slots = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64)
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the different ``hashes`` aren't remembered; they are from now on."""
+        at = (hashes >> self.shift).astype(np.int64)
+        out = self.slots[at] != hashes
+        self.slots[at] = hashes
+        return out
+
+
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n+1 row offsets of a string column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
