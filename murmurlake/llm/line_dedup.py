@@ -6,17 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from murmurlake.llm.common import Words, mix, prepare, steps, string_buffers, written
-
-#: Most edits between lines that count as the same; shorter lines are only compared for equality.
-EDITS, MIN_CHARS = 2, 20
-#: So many candidate lines at most have their hashes sent to every worker; beyond, texts are found by a join alone.
-SENT_HASHES = 2_000_000
+from murmurlake.functions.shared import SENT_BYTES
+from murmurlake.llm.common import Recent, Words, dropped, free_name, mix, prepare, steps, string_buffers, written
+
+#: Most edits between lines that count as the same, and characters of the shorter line for each of them: none under 10
+#: characters, one from 10 on, two from 20 on.
+EDITS, EDIT_CHARS = 2, 10
+#: Bits of the filter of candidate lines at most, and for each candidate. The filter only saves texts from moving: what
+#: it lets through wrongly falls out where lines meet.
+FILTER_BITS, CANDIDATE_BITS = 1 << 27, 10
+#: Bits of a part of the filter.
+_PART = 1 << 15
 #: Pairs that are verified at once; lines of a bucket from which it is worked off line by line.
 PAIRS, LARGE = 1 << 13, 64
 
@@ -70,27 +74,39 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def line_keys(lines: Lines, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """``key, hash`` of each line's segments and probes. A key's last bit tells a segment from a mere probe."""
-    use = np.flatnonzero(lines.length >= max(min_chars, edits + 1))
-    if not len(use):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def allowed(length: np.ndarray, edits: int, edit_chars: int) -> np.ndarray:
+    """Edits between a line of so many characters and one that is as long or longer."""
+    return np.minimum(edits, length // edit_chars)
+
+
+def line_keys(lines: Lines, edits: int, edit_chars: int, recent: Recent | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``key, hash`` of each line's segments and probes. A key's last bit tells a segment from a mere probe.
+
+    A line has the segments of the edits that its own length allows, and probes for those of each shorter length that
+    is near enough. Lines in ``recent`` are left out."""
+    use = np.flatnonzero(lines.length >= max(edit_chars, 2))
     line, at = np.unique(lines.hash[use], return_index=True)
     use = use[at]
+    if recent is not None:
+        new = recent.new(line)
+        line, use = line[new], use[new]
+    if not len(use):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin, length = lines.chars[lines.start[use]], lines.length[use]
     byte = np.append(np.flatnonzero((lines.words.data & 0xC0) != 0x80), len(lines.words.data))
     keys, ids = [], []
-    for longer, i, shift in probes(edits):
-        there = length - longer
-        place, size = segment(there, edits, i)
-        place = place + shift
-        ok = (there >= max(min_chars, edits + 1)) & (place >= 0) & (place + size <= length)
-        a = begin[ok] + place[ok]
-        h = lines.words.span_hash(byte[a], byte[a + size[ok]])
-        key = mix(h + mix((there[ok] * (edits + 2) + i).astype(np.uint64)))
-        own = np.uint64(longer == 0 and shift == 0)
-        keys.append(key >> np.uint64(1) << np.uint64(1) | own)
-        ids.append(line[ok])
+    for most in range(1, edits + 1):
+        for longer, i, shift in probes(most):
+            there = length - longer
+            place, size = segment(there, most, i)
+            place = place + shift
+            ok = (allowed(there, edits, edit_chars) == most) & (there > most) & (place >= 0) & (place + size <= length)
+            a = begin[ok] + place[ok]
+            h = lines.words.span_hash(byte[a], byte[a + size[ok]])
+            key = mix(h + mix((there[ok] * (edits + 2) + i).astype(np.uint64)))
+            own = np.uint64(longer == 0 and shift == 0)
+            keys.append(key >> np.uint64(1) << np.uint64(1) | own)
+            ids.append(line[ok])
     return np.concatenate(keys).view(np.int64), np.concatenate(ids).view(np.int64)
 
 
@@ -187,7 +203,7 @@ def plain_distance(a: np.ndarray, b: np.ndarray) -> int:
     return row[-1]
 
 
-def bucket_matches(key: np.ndarray, own: np.ndarray, texts: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_matches(key: np.ndarray, own: np.ndarray, texts: list[str], edits: int, edit_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``later, earlier, distance`` as places: for each line the first before it in its bucket that is near enough.
 
     Lines stand in order within equal keys. In a large bucket each line in turn is compared with the later ones that
@@ -202,7 +218,8 @@ def bucket_matches(key: np.ndarray, own: np.ndarray, texts: list[str], edits: in
     def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         pairs = [(code(i), code(j)) for i, j in zip(x, y)]
         pairs = [(p, q) if len(p) <= len(q) else (q, p) for p, q in pairs]
-        return within([p for p, _ in pairs], [q for _, q in pairs], edits)
+        d = within([p for p, _ in pairs], [q for _, q in pairs], edits)
+        return np.where(d <= allowed(np.array([len(p) for p, _ in pairs], np.int64), edits, edit_chars), d, edits + 1)
 
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
@@ -246,11 +263,11 @@ def bucket_matches(key: np.ndarray, own: np.ndarray, texts: list[str], edits: in
     return late[first], early[first], dist[first]
 
 
-def verifier(edits: int):
+def verifier(edits: int, edit_chars: int):
     """``line, distance`` and the place of the first near line, from a partition sorted by key and place."""
 
     def work(t: pa.Table) -> pa.RecordBatch:
-        late, early, dist = bucket_matches(t["key"].to_numpy(), t["own"].to_numpy(zero_copy_only=False), t["text"].to_pylist(), edits)
+        late, early, dist = bucket_matches(t["key"].to_numpy(), t["own"].to_numpy(zero_copy_only=False), t["text"].to_pylist(), edits, edit_chars)
         e = pa.array(early)
         place = [t[c].combine_chunks().take(e) for c in ("no_id", "doc_id", "line_no")]
         return pa.RecordBatch.from_arrays([t["line"].combine_chunks().take(pa.array(late)), *place, pa.array(dist, pa.int64())], ["line", "no_id", "doc_id", "line_no", "distance"])
@@ -274,91 +291,181 @@ def verifier(edits: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def filter_of(shared: DataFrame, count: int) -> np.ndarray:
+    """A bit for each candidate line, at the place that its hash's low bits name; parts are set where they belong and
+    only put together on the driver, ``FILTER_BITS`` at most."""
+    bits = _PART
+    while bits < min(FILTER_BITS, CANDIDATE_BITS * count):
+        bits *= 2
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = [b.column(0).to_numpy() for b in batches]
+        at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
+        for number in np.unique(at // _PART):
+            part = np.zeros(_PART, bool)
+            part[at[at // _PART == number] % _PART] = True
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.packbits(part).tobytes()], pa.binary())], ["number", "bits"])
+
+    places = shared.select(F.col("line").bitwiseAND(F.lit(bits - 1)).alias("at")).distinct()
+    out = np.zeros(bits // 8, np.uint8)
+    for row in places.repartition(F.floor(F.col("at") / _PART)).mapInArrow(parts, "number bigint, bits binary").collect():
+        out[row.number * _PART // 8 : (row.number + 1) * _PART // 8] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, line: np.ndarray) -> np.ndarray:
+    at = line & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+class Repeats:
+    """The lines of a table that repeat earlier ones.
+
+    ``lines``: ``doc_id, line_no, line, text, no_id`` of every line, with the texts of candidates; ``known``: ``line,
+    first, near`` of the lines that occur more than once or are near an earlier one: the place where it occurs first,
+    and the earliest line that is near that with the distance."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, edits: int, edit_chars: int):
+        prepare(docs.sparkSession)
+        slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            recent = Recent()
+            for batch in batches:
+                data, offsets = string_buffers(batch.column(0))
+                for a, b in steps(offsets):
+                    key, line = line_keys(Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), edits, edit_chars, recent)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(line)], ["key", "line"])
+
+        keys = slim.select("text").mapInArrow(keyed, "key bigint, line bigint")
+        shared = written(keys.repartition(F.shiftright("key", 1)).mapInArrow(candidates, "key bigint, line bigint, own boolean"), "shared")
+        bits = filter_of(shared, shared.count())
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = string_buffers(batch.column(1))
+                for a, b in steps(offsets):
+                    part = data[offsets[a] : offsets[b]]
+                    lines = Lines(part, offsets[a : b + 1] - offsets[a])
+                    line = lines.hash.view(np.int64)
+                    need = (lines.length >= edit_chars) & passes(bits, line)
+                    raw = part.tobytes()
+                    texts = [raw[s:e].decode() if n else None for s, e, n in zip(lines.start, lines.end, need)]
+                    ids = batch.column(0).slice(a, b - a).take(pa.array(lines.row))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number), pa.array(line), pa.array(texts, pa.string())], ["doc_id", "line_no", "line", "text"])
+
+        self.lines = written(slim.mapInArrow(placed, "doc_id bigint, line_no bigint, line bigint, text string").withColumn("no_id", F.col("doc_id").isNull()), "lines")
+        place = F.struct("no_id", "doc_id", "line_no")
+        texts = self.lines.where("text is not null").groupBy("line").agg(F.min(place).alias("p"), F.first("text").alias("text"))
+        meeting = shared.join(texts, "line").select("key", "own", "line", "text", "p.no_id", "p.doc_id", "p.line_no")
+        near = meeting.repartition("key").sortWithinPartitions("key", "no_id", "doc_id", "line_no").mapInArrow(verifier(edits, edit_chars), "line bigint, no_id boolean, doc_id bigint, line_no bigint, distance bigint")
+        near = near.groupBy("line").agg(F.min(F.struct(F.struct("no_id", "doc_id", "line_no").alias("p"), "distance")).alias("near"))
+        each = self.lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        self.known = written(each.join(near, "line", "left").where("n > 1 or near is not null").select("line", "first", "near"), "known")
+        dropped(shared)
+
+    def rows(self) -> DataFrame:
+        """``doc_id, line_no, line, source, distance`` of every line that repeats an earlier one."""
+        own = F.struct("no_id", "doc_id", "line_no")
+        all_ = self.lines.select("doc_id", "line_no", "line", own.alias("own")).join(self.known, "line").where((F.col("own") != F.col("first")) | F.col("near").isNotNull())
+        return all_.select("doc_id", "line_no", "line", F.coalesce("near.p", "first").alias("source"), F.coalesce("near.distance", F.lit(0).cast("bigint")).alias("distance"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``doc_id, line_no, line, source_doc_id, source_line_no, distance`` for each line that repeats an earlier one:
-    the earliest line of the table within ``edits`` edits.
+    the earliest line of the table within the edits that are allowed, one for each ``edit_chars`` characters of the
+    shorter line and ``edits`` at most.
 
     Lines are what newlines part, without the ASCII white space around them; blank ones are no lines, but count in
-    ``line_no`` (from 0). Order is by doc_id, then line_no; null ids come last. Lines under ``min_chars`` characters
+    ``line_no`` (from 0). Order is by doc_id, then line_no; null ids come last. Lines under ``edit_chars`` characters
     repeat only equal ones. Rows with the same doc_id are one document: an equal line at the same place in both is
-    the same line and no repetition. Null and empty texts have no lines; an empty table gives an empty one; other
-    columns are ignored. ``line`` is the line's 64-bit hash.
+    the same line and no repetition. Null and empty texts have no lines; very long texts and lines are taken whole; an
+    empty table gives an empty one; other columns are ignored, whatever their names. ``line`` is the line's 64-bit hash.
 
-    Texts are read twice: first every line's segment and probe hashes meet by key, then the few lines that share a
-    key are verified where they meet. Whole lines move only if they share a key."""
-    prepare(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    Texts are read twice. First every line's segment and probe hashes meet by key, a line's once from each partition.
+    Then every line's place is written down, with the text of those that a filter of the candidates' hashes lets
+    through, and these are verified where they share a key. That is the plan at every size; beyond 13 million candidate
+    lines the filter, which is bounded, lets more and more texts through."""
+    found = Repeats(docs, id_col, text_col, edits, edit_chars).rows()
+    return found.select("doc_id", "line_no", "line", F.col("source.doc_id").alias("source_doc_id"), F.col("source.line_no").alias("source_line_no"), "distance")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_buffers(batch.column(0))
-            for a, b in steps(offsets):
-                key, line = line_keys(Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), edits, min_chars)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(line)], ["key", "line"])
-
-    keys = slim.select("text").mapInArrow(keyed, "key bigint, line bigint")
-    shared = keys.repartition(F.shiftright("key", 1)).mapInArrow(candidates, "key bigint, line bigint, own boolean")
-    shared = written(shared, "shared")
-    wanted = shared.select("line").distinct()
-    few = wanted.limit(SENT_HASHES + 1).count() <= SENT_HASHES
-    sent = np.sort(wanted.toArrow().column(0).to_numpy()) if few else None
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_buffers(batch.column(1))
-            for a, b in steps(offsets):
-                part = data[offsets[a] : offsets[b]]
-                lines = Lines(part, offsets[a : b + 1] - offsets[a])
-                line = lines.hash.view(np.int64)
-                if sent is None:
-                    need = lines.length >= min_chars
-                else:
-                    at = np.searchsorted(sent, line)
-                    need = np.append(sent, 0)[at] == line if len(sent) else np.zeros(len(line), bool)
-                    need &= at < len(sent)
-                raw = part.tobytes()
-                texts = [raw[s:e].decode() if n else None for s, e, n in zip(lines.start, lines.end, need)]
-                ids = batch.column(0).slice(a, b - a).take(pa.array(lines.row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number), pa.array(line), pa.array(texts, pa.string())], ["doc_id", "line_no", "line", "text"])
-
-    where = written(slim.mapInArrow(placed, "doc_id bigint, line_no bigint, line bigint, text string").withColumn("no_id", F.col("doc_id").isNull()), "lines")
-    place = F.struct("no_id", "doc_id", "line_no")
-    texts = where.where("text is not null").groupBy("line").agg(F.min(place).alias("p"), F.first("text").alias("text"))
-    meeting = shared.join(texts, "line").select("key", "own", "line", "text", "p.no_id", "p.doc_id", "p.line_no")
-    near = meeting.repartition("key").sortWithinPartitions("key", "no_id", "doc_id", "line_no").mapInArrow(verifier(edits), "line bigint, no_id boolean, doc_id bigint, line_no bigint, distance bigint")
-    near = near.groupBy("line").agg(F.min(F.struct(F.struct("no_id", "doc_id", "line_no").alias("p"), "distance")).alias("near"))
-    first = F.min(place).over(Window.partitionBy("line"))
-    all_ = where.select("doc_id", "line_no", "line", place.alias("own"), first.alias("first")).join(near, "line", "left")
-    source = F.coalesce("near.p", "first")
-    return all_.where((F.col("own") != F.col("first")) | F.col("near").isNotNull()).select("doc_id", "line_no", "line", source["doc_id"].alias("source_doc_id"), source["line_no"].alias("source_line_no"), F.coalesce("near.distance", F.lit(0).cast("bigint")).alias("distance"))
-
-
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without the lines that ``repeated_lines`` finds, and without the rows that this leaves no line.
-
-    What stays of a text is unchanged; a text without lines stays as it is. All columns stay."""
-    gone = repeated_lines(docs, id_col, text_col, edits, min_chars)
-    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("line_no", "line")).alias("g"))
-    gone = gone.select("__id", F.col("g.line_no").alias("__number"), F.col("g.line").alias("__line"))
-    joined = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")), "left").drop("__id")
+
+#: Bytes of a known line where it is sent to the workers: hash, place, marks.
+_KNOWN_BYTES = 26
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """``docs`` without the lines that ``repeated_lines`` finds, and without the rows that this leaves no line; see
+    there for nulls, empty and very long texts, ties, repeated rows and empty tables.
+
+    What stays of a text is unchanged; a text without lines stays as it is. All columns stay, whatever their names.
+
+    While the lines that occur more than once or near another are few enough to be sent (they are counted), each
+    document finds its own among them and no document moves; beyond that each document's list joins it by id."""
+    repeats = Repeats(docs, id_col, text_col, edits, edit_chars)
     names, place, width = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch, gone) -> pa.RecordBatch:
+        """The batch without the lines that ``gone(lines, first row)`` marks."""
+        column = batch.column(place)
+        data, offsets = string_buffers(column)
+        texts, keep = column.to_pylist(), np.ones(batch.num_rows, bool)
+        for a, b in steps(offsets):
+            lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            out = gone(lines, a)
+            for r in np.unique(lines.row[out]):
+                low, high = np.searchsorted(lines.row, [r, r + 1])
+                number = set(lines.number[low:high][out[low:high]].tolist())
+                keep[a + r] = not out[low:high].all()
+                texts[a + r] = "\n".join(x for k, x in enumerate(texts[a + r].split("\n")) if k not in number)
+        columns = [*batch.columns[:width]]
+        columns[place] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    schema = StructType([*docs.schema.fields])
+    own = F.col(id_col).cast("bigint")
+    number, hashes, row_id = (free_name(names, x) for x in ("number", "hashes", "row_id"))
+    whole = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    if repeats.known.count() * _KNOWN_BYTES <= SENT_BYTES:
+        known = repeats.known.select("line", "first.doc_id", "first.line_no", F.col("near").isNotNull().alias("near")).toArrow()
+        line = known.column(0).to_numpy()
+        by = np.argsort(line)
+        line, no_id = line[by], known.column(1).is_null().to_numpy()[by]
+        doc, line_no, near = known.column(1).fill_null(0).to_numpy()[by], known.column(2).to_numpy()[by], known.column(3).to_numpy()[by]
+
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(width)
+                no, value = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+
+                def gone(lines: Lines, first: int) -> np.ndarray:
+                    hash_, row = lines.hash.view(np.int64), lines.row + first
+                    at = np.minimum(np.searchsorted(line, hash_), max(0, len(line) - 1))
+                    if not len(line):
+                        return np.zeros(len(hash_), bool)
+                    earliest = (doc[at] == value[row]) & (no_id[at] == no[row]) & (line_no[at] == lines.number)
+                    return (line[at] == hash_) & (near[at] | ~earliest)
+
+                yield cut(batch, gone)
+
+        return whole.withColumn(row_id, own).mapInArrow(sent, schema)
+    lists = repeats.rows().groupBy(F.col("doc_id").alias(row_id)).agg(F.collect_set(F.struct("line_no", "line")).alias("g"))
+    lists = lists.select(row_id, F.col("g.line_no").alias(number), F.col("g.line").alias(hashes))
+    joined = whole.join(lists, own.eqNullSafe(F.col(row_id)), "left").select(*names, number, hashes)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(place)
-            data, offsets = string_buffers(column)
-            lists = batch.column(width)
-            texts, keep = column.to_pylist(), np.ones(batch.num_rows, bool)
-            for r in np.flatnonzero(pc.is_valid(lists).to_numpy(zero_copy_only=False)):
-                lines = Lines(data[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))
-                drop = set(zip(lists[r].as_py(), batch.column(width + 1)[r].as_py()))
-                number = [k for k, h in zip(lines.number.tolist(), lines.hash.view(np.int64).tolist()) if (k, h) in drop]
-                if number:
-                    out = set(number)
-                    keep[r] = len(out) < len(lines.number)
-                    texts[r] = "\n".join(x for k, x in enumerate(texts[r].split("\n")) if k not in out)
-            columns = [*batch.columns[:width]]
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
-
-    return joined.mapInArrow(run, StructType([*docs.schema.fields]))
+            numbers, lines_ = batch.column(width), batch.column(width + 1)
+
+            def gone(lines: Lines, first: int) -> np.ndarray:
+                out = np.zeros(len(lines.row), bool)
+                for r in np.unique(lines.row):
+                    if numbers[first + r].is_valid:
+                        drop = set(zip(numbers[first + r].as_py(), lines_[first + r].as_py()))
+                        low, high = np.searchsorted(lines.row, [r, r + 1])
+                        out[low:high] = [x in drop for x in zip(lines.number[low:high].tolist(), lines.hash.view(np.int64)[low:high].tolist())]
+                return out
+
+            yield cut(batch, gone)
+
+    return joined.mapInArrow(listed, schema)

@@ -107,7 +107,7 @@ def test_banded_distance(edits):
     assert got.tolist() == [min(edits + 1, line_dedup.plain_distance(code(a), code(b))) for a, b in pairs]
 
 
-def brute_lines(rows, edits, min_chars):
+def brute_lines(rows, edits, edit_chars):
     lines = []
     for doc, text in rows:
         for k, x in enumerate((text or "").split("\n")):
@@ -119,8 +119,9 @@ def brute_lines(rows, edits, min_chars):
         for q, source, y in lines[:i]:
             if q == p and x == y:
                 continue
-            d = 0 if x == y else line_dedup.plain_distance(x, y) if min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= edits else 99
-            if q < p and d <= edits:
+            most = min(edits, min(len(x), len(y)) // edit_chars)
+            d = 0 if x == y else line_dedup.plain_distance(x, y) if abs(len(x) - len(y)) <= most else 99
+            if q < p and d <= most:
                 out.append((doc, p[2], source, q[2], d))
                 break
     return out
@@ -141,8 +142,8 @@ def test_repeated_lines_equal_brute_force(spark, seed, edits, monkeypatch):
 
     rows = [(i, "\n".join(line() if rng.random() > 0.1 else "" for _ in range(rng.randrange(6)))) for i in range(60)]
     rows += [(None, line()), (70, None), (71, ""), (72, base[0]), (72, base[0]), (73, "long " * 60 + "\n" + "long " * 60 + "x")]
-    got = sorted(map(str, (tuple(r)[:2] + tuple(r)[3:] for r in line_dedup.repeated_lines(frame(spark, rows), edits=edits, min_chars=8).collect())))
-    assert got == sorted(map(str, brute_lines(rows, edits, 8)))
+    got = sorted(map(str, (tuple(r)[:2] + tuple(r)[3:] for r in line_dedup.repeated_lines(frame(spark, rows), edits=edits, edit_chars=4).collect())))
+    assert got == sorted(map(str, brute_lines(rows, edits, 4)))
 
 
 def test_very_long_lines(spark):
@@ -157,5 +158,31 @@ def test_drop_repeated_lines(spark, monkeypatch):
     got = sorted((str(r.doc_id), r.text) for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect())
     assert got == sorted([("1", f"{one}\n\n{two}"), ("2", "own words here"), ("4", None), ("5", " \n"), ("None", "null id")], key=lambda x: (x[0], str(x[1])))
     assert line_dedup.drop_repeated_lines(frame(spark, [])).collect() == [] and line_dedup.repeated_lines(frame(spark, [])).collect() == []
-    monkeypatch.setattr(line_dedup, "SENT_HASHES", 0)  # as with more candidates than are sent to the workers
+    monkeypatch.setattr(line_dedup, "SENT_BYTES", 0)  # as with more lines than are sent to the workers
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", 0)
     assert sorted((str(r.doc_id), r.text) for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()) == got
+
+
+def test_short_lines_allow_an_edit_for_ten_characters(spark):
+    rows = [(1, "Share this"), (2, "Share this."), (3, "Share that"), (4, "short"), (5, "shor"), (6, "short"), (7, "nineteen characters"), (8, "nineteen charakters."), (9, "nineteen characters!")]
+    got = sorted((r.doc_id, r.source_doc_id, r.distance) for r in line_dedup.repeated_lines(frame(spark, rows)).collect())
+    assert got == [(2, 1, 1), (6, 4, 0), (9, 7, 1)]
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_rows_of_one_document_and_clashing_columns(spark, monkeypatch, sent):
+    if not sent:
+        monkeypatch.setattr(line_dedup, "SENT_BYTES", 0)
+    one, two = "the first line of some length", "another line of some length"
+    names = "doc_id bigint, text string, number string, hashes bigint, row_id string, __id string, __line int"
+    rows = [(1, f"{one}\n{two}", "a", 1, "x", "y", 2), (1, f"{one}\nother", "b", None, "x", "y", 2), (2, f"own\n{two}", "c", 1, None, "y", 2)]
+    got = sorted(map(tuple, line_dedup.drop_repeated_lines(spark.createDataFrame(rows, names)).collect()), key=lambda r: r[2])
+    assert got == [rows[0], rows[1], (2, "own", *rows[2][2:])]
+
+
+def test_near_duplicates_keep_clashing_columns(spark):
+    names = "doc_id bigint, text string, row string, keep bigint, stay int, place int, tag int, node int, __node string, __kept_id bigint, ROOT int"
+    rows = [(i, t, "r", 1, 2, 3, 4, 5, "n", 6, 7) for i, t in [(1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, "x y z w"), (3, "x y z w")]]
+    got = sorted(map(tuple, near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, names)).collect()))
+    assert got == [rows[0], rows[3]]
+    assert sorted(r.keep for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, names)).collect()) == [False] * 3 + [True] * 2

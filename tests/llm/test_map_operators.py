@@ -65,9 +65,9 @@ def test_assign_equals_brute_force(seed):
 def test_pack_covers_every_token_once(spark):
     rows = [(i, "w" * (i * 37 % 900), "en", 1, 2) for i in range(120)] + [(None, "abcd" * 10, None, None, None), (7, None, "x", 1, 1), (8, "", "x", 1, 1), (5, "same text", "x", 1, 1), (5, "same text", "x", 1, 1), (999, "y" * 5000, "x", 1, 1)]
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), capacity=100, group_rows=40).collect()
-    want = {}
+    want, own = {}, encoding()
     for doc, text, *_ in rows:
-        want[doc] = want.get(doc, 0) + -(-len(text or "") // 4)
+        want[doc] = want.get(doc, 0) + len(own.encode_ordinary(text or ""))
     have, room = {}, {}
     for r in got:
         have[r.doc_id] = have.get(r.doc_id, 0) + r.n_tokens

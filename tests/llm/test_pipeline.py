@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from murmurlake.llm import decontamination, line_dedup, packing
 from test_duplicates import brute_lines, shingles, union_find
-from test_map_operators import brute_leaks, greedy
+from test_map_operators import brute_leaks, encoding, greedy
 from test_quality_rules import plain
 from murmurlake.llm import quality_rules
 
@@ -36,7 +36,7 @@ def good(text):
 
 def brute_stages(rows, items):
     one = [r for r in rows if good(r[1])]
-    gone = {(d, k) for d, k, *_ in brute_lines([r[:2] for r in one], line_dedup.EDITS, line_dedup.MIN_CHARS)}
+    gone = {(d, k) for d, k, *_ in brute_lines([r[:2] for r in one], line_dedup.EDITS, line_dedup.EDIT_CHARS)}
     two = []
     for r in one:
         lines = r[1].split("\n")
@@ -70,7 +70,9 @@ def test_pipeline_equals_plain_code(spark, tmp_path):
         assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, want)), name
     assert len({len(w) for w in (rows, *wants)}) == 5  # every stage takes something
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    tokens = sorted(((-(-len(r[1].encode()) // packing.BYTES_PER_TOKEN), r[0]) for r in wants[-1]), key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+    own = encoding()
+    tokens = [(len(own.encode_ordinary(r[1] or "")), r[0]) for r in wants[-1]]
+    tokens = sorted((t for t in tokens if t[0]), key=lambda x: (-x[0], x[1] is None, x[1] or 0))
     places = greedy([n for n, _ in tokens], packing.CAPACITY)
     assert {(r.doc_id, r.n_tokens, r.sequence_id) for r in packed} == {(d, n, p) for (n, d), p in zip(tokens, places)}
 
