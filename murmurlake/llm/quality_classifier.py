@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.llm.common import Words, mix, prepare, steps, string_buffers
+from murmurlake.llm.common import VECTOR, Words, mix, prepare, steps, string_buffers, summed, vector
 
-#: Labelled rows that are fitted on, and unlabelled ones that the views label for each other: a bounded sample each,
-#: drawn by hash. Everything else covers every document.
-LABELLED, POOL = 10_000, 10_000
-#: Hashed word features; rounds; probability from which a view is sure; most pseudo-labels a round as a share of the
-#: pool; share of the labelled rows held out for calibration.
-BITS, ROUNDS, SURE, SHARE, HELD_OUT = 18, 3, 0.95, 0.1, 0.25
+#: Labelled rows that are fitted on: a bounded sample, drawn by hash. All else, the pseudo-labels that the views give
+#: each other too, covers every document.
+LABELLED = 10_000
+#: Hashed word features; rounds; probability from which a view is sure; share of the labelled rows held out for
+#: calibration.
+BITS, ROUNDS, SURE, HELD_OUT = 18, 3, 0.95, 0.25
 #: Training steps of a view, their rate, and the pull towards zero.
 STEPS, RATE, PULL = 60, 0.3, 2e-4
 TARGETS = ("quality", "toxic")
@@ -79,12 +80,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int) -> View:
-    """A logistic model whose features are weighted by their log count ratio (after Wang and Manning, 2012)."""
-    up, n_up = np.bincount(feature, y[row], width), max(1.0, y.sum())
-    all_ = np.bincount(feature, minlength=width)
-    down, n_down = all_ - up, max(1.0, (1 - y).sum())
-    ratio = np.where(all_ >= 3, np.log((up + 0.5) / (n_up + 1)) - np.log((down + 0.5) / (n_down + 1)), 0.0)
+@dataclass
+class Told:
+    """Counts of features in the documents that a view was told to be of either class, and of these documents."""
+
+    up: np.ndarray
+    down: np.ndarray
+    n_up: float
+    n_down: float
+
+
+def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, told: Told | None = None) -> View:
+    """A logistic model whose features are weighted by their log count ratio (after Wang and Manning, 2012) over the
+    labelled rows and what it was ``told``. Each ratio's factor is fitted on the labelled rows; features that these
+    lack get the mean factor."""
+    seen = np.bincount(feature, minlength=width)
+    up, n_up = np.bincount(feature, y[row], width), y.sum()
+    down, n_down = seen - up, (1 - y).sum()
+    bias = float(np.log(max(1.0, n_up) / max(1.0, n_down)))
+    if told is not None:
+        up, down, n_up, n_down = up + told.up, down + told.down, n_up + told.n_up, n_down + told.n_down
+    ratio = np.where(up + down >= 3, np.log((up + 0.5) / (n_up + 1)) - np.log((down + 0.5) / (n_down + 1)), 0.0)
     # a feature seen alike in both classes says nothing; its ratio is within its own error
     error = np.sqrt(1 / (up + 0.5) + 1 / (down + 0.5))
     ratio = np.where(np.abs(ratio) > 2 * error, ratio, 0.0)
@@ -95,7 +111,7 @@ def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int) -> View
     row, at = row[keep], place[feature[keep]]
     r = ratio[use]
     u, grads = np.zeros(len(use)), np.full(len(use), 1e-6)
-    bias, bias_grads = float(np.log(n_up / n_down)), 1e-6
+    bias_grads = 1e-6
     x = r[at]
     for _ in range(STEPS):
         p = sigmoid(np.bincount(row, x * u[at], len(y)) + bias)
@@ -105,6 +121,9 @@ def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int) -> View
         u -= RATE * grad / np.sqrt(grads)
         bias_grads += g.sum() ** 2
         bias -= RATE * g.sum() / np.sqrt(bias_grads)
+    unseen = seen[use] == 0
+    if unseen.any() and not unseen.all():
+        u[unseen] = u[~unseen].mean()
     weights = np.zeros(width)
     weights[use] = r * u
     return View(weights, bias)
@@ -137,58 +156,81 @@ class Model:
         return sigmoid(np.column_stack([*x, np.ones(rows)]) @ self.mix)
 
 
-def co_train(features: list[list[tuple[np.ndarray, np.ndarray]]], sizes: list[int], y: np.ndarray, pool: int, rounds: int) -> Model:
-    """``features[view]``: ``row, feature`` of the labelled rows, then of the pool (numbered on from there).
-
-    Each round each view gives the other its surest pool rows: those whose calibrated chance is ``SURE`` or more
-    either way, the surest first, in the classes' proportion."""
-    n = len(y)
-    known = np.isfinite(y)
-    if not known.any() or len(np.unique(y[known])) < 2:
-        return Model([], np.zeros(0), float(y[known].mean()) if known.any() else 0.5)
-    held = known & (np.arange(n) % round(1 / HELD_OUT) == 0)
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[known & ~held])) < 2:
-        held = known
-    train = known & ~held if (known & ~held).any() else known
-    label = [np.append(np.where(train, y, np.nan), np.full(pool, np.nan)) for _ in features]
-    base = float(y[known].mean())
-    views: list[View] = []
+def tally(targets: list[list[View]], features: list[tuple[np.ndarray, np.ndarray]], rows: int, sizes: list[int]) -> np.ndarray:
+    """What the views tell each other about some documents: for each target and view the features of the documents that
+    the other view is sure of, by class, and their number; all in one vector that adds up over documents."""
+    out = []
+    for views in targets:
+        chances = [v.chance(v.score(*f, rows)) for v, f in zip(views, features)]
+        for view, (row, feature) in enumerate(features[: len(views)]):
+            other = chances[1 - view]
+            for sure in (other >= SURE, other <= 1 - SURE):
+                out += [np.bincount(feature[sure[row]], minlength=sizes[view]), [sure.sum()]]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def told(vector: np.ndarray, targets: list[list[View]], sizes: list[int]) -> list[list[Told]]:
+    """The parts of a sum of ``tally``."""
+    parts = np.split(vector, np.cumsum([n for views in targets for k in range(len(views)) for n in (sizes[k], 1) * 2])[:-1])
+    return [[_told(parts) for _ in views] for views in targets]
+
+
+def _told(parts: list[np.ndarray]) -> Told:
+    up, n_up, down, n_down = (parts.pop(0) for _ in range(4))
+    return Told(up, down, float(n_up[0]), float(n_down[0]))
+
+
+def co_train(features: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], ys: list[np.ndarray], rounds: int, exchange: Callable[[list[list[View]]], np.ndarray]) -> list[Model]:
+    """A model for each of the targets ``ys`` (null where unknown). ``features[view]``: ``row, feature`` of the labelled rows.
+
+    Each round ``exchange`` sums ``tally`` over all other documents: each view tells the other which ones it is sure
+    of, those whose calibrated chance is ``SURE`` or more either way, and the other counts their features with its own."""
+    n = len(ys[0])
+    known = [np.isfinite(y) for y in ys]
+    able = [len(np.unique(y[k])) == 2 for y, k in zip(ys, known)]
+    held = []
+    for y, k in zip(ys, known):
+        h = k & (np.arange(n) % round(1 / HELD_OUT) == 0)
+        held.append(h if len(np.unique(y[h])) == 2 and len(np.unique(y[k & ~h])) == 2 else k)
+    learnt: list[list[Told]] = [[] for _ in ys]
+    targets: list[list[View]] = [[] for _ in ys]
     for k in range(rounds + 1):
-        views = []
-        for view, (row, feature) in enumerate(features):
-            has = np.isfinite(label[view])
-            number = np.cumsum(has) - 1
-            ok = has[row]
-            model = fit(number[row[ok]], feature[ok], label[view][has], sizes[view])
-            s = model.score(row, feature, n + pool)
-            model.slope, model.shift = logistic(s[:n][held][:, None], y[held])
-            views.append(model)
-        if k == rounds:
+        for t, y in enumerate(ys):
+            if not able[t]:
+                continue
+            train = known[t] & ~held[t] if (known[t] & ~held[t]).any() else known[t]
+            number = np.cumsum(train) - 1
+            targets[t] = []
+            for view, (row, feature) in enumerate(features):
+                ok = train[row]
+                model = fit(number[row[ok]], feature[ok], y[train], sizes[view], learnt[t][view] if learnt[t] else None)
+                model.slope, model.shift = logistic(model.score(row, feature, n)[held[t]][:, None], y[held[t]])
+                targets[t].append(model)
+        if k == rounds or not any(able):
             break
-        for view, (row, feature) in enumerate(features):
-            other = label[1 - view]
-            p = views[view].chance(views[view].score(row, feature, n + pool))
-            free = np.flatnonzero(~np.isfinite(other) & (np.arange(n + pool) >= n))
-            for value, sure, most in ((1.0, p[free], base), (0.0, 1 - p[free], 1 - base)):
-                best = free[np.argsort(-sure, kind="stable")[: round(SHARE * pool * most)]]
-                other[best[(p[best] if value else 1 - p[best]) >= SURE]] = value
-    x = np.column_stack([v.slope * v.score(*f, n + pool)[:n][held] + v.shift for v, f in zip(views, features)])
-    return Model(views, logistic(x, y[held]), base)
+        learnt = told(exchange(targets), targets, sizes)
+    out = []
+    for t, y in enumerate(ys):
+        base = float(y[known[t]].mean()) if known[t].any() else 0.5
+        if not able[t]:
+            out.append(Model([], np.zeros(0), base))
+            continue
+        x = np.column_stack([v.slope * v.score(*f, n)[held[t]] + v.shift for v, f in zip(targets[t], features)])
+        out.append(Model(targets[t], logistic(x, y[held[t]]), base))
+    return out
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.value_parent_indices().to_numpy(), column.flatten().to_numpy().astype(np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], labelled: int, pool: int, rounds: int) -> list[Model]:
-    """A model for each target from a bounded sample; the sample's sizes don't depend on the tables'."""
-    chosen = labels.where(f"{id_col} is not null").select(F.col(id_col).cast("bigint").alias("id"), *(F.col(t).cast("double").alias(t) for t in TARGETS))
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], labelled: int, rounds: int) -> list[Model]:
+    """A model for each target: fitted on a bounded sample of labelled rows, and on what its views tell each other about
+    every other document, a pass over all of them each round."""
+    chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), *(F.col(t).cast("double").alias(t) for t in TARGETS))
     chosen = chosen.orderBy(F.xxhash64("id", F.lit(7)), *TARGETS).limit(labelled)
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), meta_features(docs, meta_cols).alias("meta"))
     marked = slim.join(F.broadcast(chosen), "id")
-    share = min(1.0, pool / max(1, docs.count()))
-    rest = slim.join(F.broadcast(chosen.select("id")), "id", "left_anti").where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(share * 1e6))
-    rest = rest.select("*", *(F.lit(None).cast("double").alias(t) for t in TARGETS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,31 +243,51 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_c
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), lists, *(batch.column(c).slice(a, b - a) for c in ("meta", *TARGETS))], ["id", "words", "meta", *TARGETS])
 
     schema = "id bigint, words array<int>, meta array<int>, " + ", ".join(f"{t} double" for t in TARGETS)
-    parts = [df.mapInArrow(run, schema).toArrow().combine_chunks() for df in (marked, rest)]
+    known = marked.mapInArrow(run, schema).toArrow().combine_chunks()
     # any order of rows comes from the same rows
-    parts = [t.take(pa.array(np.lexsort((np.array([len(w) for w in t["words"].to_pylist()], int), mix(t["id"].fill_null(0).to_numpy().view(np.uint64)))))) for t in parts]
-    n, m = (t.num_rows for t in parts)
-    features = []
-    for name in ("words", "meta"):
-        both = [_lists(t[name].combine_chunks()) for t in parts]
-        features.append((np.concatenate([both[0][0], both[1][0] + n]), np.concatenate([both[0][1], both[1][1]])))
+    sizes_ = pc.list_value_length(known["words"]).to_numpy() if known.num_rows else np.zeros(0, int)
+    known = known.take(pa.array(np.lexsort((sizes_, mix(known["id"].to_numpy().view(np.uint64))))))
+    features = [_lists(known[c].combine_chunks()) for c in ("words", "meta")]
     sizes = [1 << BITS, _META]
-    return [co_train(features, sizes, parts[0][t].to_numpy(zero_copy_only=False).astype(float) if n else np.zeros(0), m, rounds) for t in TARGETS]
+    ids = np.unique(known["id"].to_numpy())
+
+    def exchange(targets: list[list[View]]) -> np.ndarray:
+        width = len(tally(targets, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2, 0, sizes))
+        light = [[View(v.weights.astype(np.float32), v.bias, v.slope, v.shift) for v in views] for views in targets]
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width)
+            for batch in batches:
+                fresh = ~np.isin(batch.column(0).fill_null(-1).to_numpy(), ids) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(fresh))
+                data, offsets = string_buffers(batch.column(1))
+                for a, b in steps(offsets):
+                    text = text_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    total += tally(light, [text, _lists(batch.column(2).slice(a, b - a))], b - a, sizes)
+            yield vector(total)
+
+        total = summed(slim.mapInArrow(tell, VECTOR))
+        return np.zeros(width) if total is None else total.astype(float)
+
+    return co_train(features, sizes, [known[t].to_numpy().astype(float) for t in TARGETS], rounds, exchange)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = LABELLED, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, quality, toxic, keep`` for each row of ``docs``: the chances of either label and whether the document
     is good and not toxic (at a half).
 
     Two views of a document, its text's words and form and its page's metadata, are trained on a bounded sample of
-    labelled rows (``labelled``) and label a bounded sample of others (``pool``) for each other; calibrated on rows
-    held out, they are combined and score every document. Null labels count as unknown; without two classes of a
-    label its share among the labels is the chance of all (a half without any). Null and empty texts are judged by
-    their metadata and by having no words; metadata columns that ``docs`` lacks are left out; null ids stay null;
-    repeated rows are scored each; an empty table gives an empty one. Scoring is map only."""
+    labelled rows (``labelled``). In each round each view says of every other document whether it is sure, and the
+    other view counts the features of those; only the counts move, a vector of fixed size from each partition.
+    Calibrated on labelled rows held out, the views are combined and score every document. Null labels count as
+    unknown; without two classes of a label its share among the labels is the chance of all (a half without any). Null
+    and empty texts are judged by their metadata and by having no words; a very long text is one document like any
+    other, its words counted once; metadata columns that ``docs`` lacks are left out; null ids stay null; repeated rows
+    are told and scored each; chances at exactly a half are kept for quality and dropped for toxic; an empty table
+    gives an empty one; other columns are ignored, whatever their names."""
     prepare(docs.sparkSession)
     names = [c for c in meta_cols if c in docs.columns]
-    models = train(docs, labels, id_col, text_col, names, labelled, pool, rounds)
+    models = train(docs, labels, id_col, text_col, names, labelled, rounds)
     for model in models:
         for view in model.views:
             view.weights = view.weights.astype(np.float32)

@@ -159,7 +159,7 @@ def test_classifier_held_out_accuracy(spark):
     docs, labels = corpus(900, 1)
     df = spark.createDataFrame([*docs, (None, None, None, None, None, None), (5000, "", "en", "src1", 0, 0.1)], "doc_id bigint, text string, lang string, source string, n_chars bigint, quality double")
     known = spark.createDataFrame([*labels[:500], (None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int")
-    got = {r.doc_id: r for r in quality_classifier.classify(df, known, labelled=400, pool=300).collect()}
+    got = {r.doc_id: r for r in quality_classifier.classify(df, known, labelled=400).collect()}
     assert len(got) == 902
     rest = labels[500:]
     assert sum((got[i].toxic >= 0.5) == bool(t) for i, _, t in rest) >= 0.93 * len(rest)
@@ -182,11 +182,35 @@ def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     n, pool = 60, 600
     truth = rng.integers(0, 2, n + pool)
-    feats = []
-    for view in range(2):
-        f = truth * 40 + rng.integers(0, 40, n + pool)
-        g = 100 + truth * 5 + rng.integers(0, 4, n + pool)
-        feats.append((np.tile(np.arange(n + pool), 2), np.concatenate([f, g])))
-    model = quality_classifier.co_train(feats, [200, 200], truth[:n].astype(float), pool, 3)
-    assert ((model.chance(feats, n + pool) >= 0.5) == truth).mean() > 0.98
+    f, g = truth * 40 + rng.integers(0, 40, n + pool), 100 + truth * 5 + rng.integers(0, 4, n + pool)
+    part = lambda a, b: [(np.tile(np.arange(b - a), 2), np.concatenate([f[a:b], g[a:b]]))] * 2
+    exchange = lambda targets: quality_classifier.tally(targets, part(n, n + pool), pool, [200, 200]).astype(float)
+    (model,) = quality_classifier.co_train(part(0, n), [200, 200], [truth[:n].astype(float)], 3, exchange)
+    assert ((model.chance(part(n, n + pool), pool) >= 0.5) == truth[n:]).mean() > 0.98
     assert json.dumps(model.prior)
+
+
+def test_exchange_covers_every_document(spark):
+    """The distributed rounds equal plain ones over all rows at once, repeated and very long ones included."""
+    docs, labels = corpus(300, 3)
+    docs += [docs[250], docs[250], (900, "w1 moronx " * 30000, "en", "src1", 5, 0.5), (901, None, None, None, None, None), (None, "w2 w3 trashy", "en", "src2", 1, 0.5)]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, x double"
+    df = spark.createDataFrame(docs, names).repartition(5)
+    known = spark.createDataFrame(labels[:200], "doc_id bigint, quality int, toxic int")
+    qc, meta = quality_classifier, ["lang", "source", "n_chars"]
+    got = qc.train(df, known, "doc_id", "text", meta, 200, 2)
+    rows = spark.createDataFrame(docs, names).select("doc_id", "text", qc.meta_features(df, meta).alias("m")).collect()
+    order = {i: k for k, i in enumerate(np.arange(200)[np.argsort(qc.mix(np.arange(200).view(np.uint64)), kind="stable")])}
+    first = sorted((r for r in rows if r.doc_id is not None and r.doc_id < 200), key=lambda r: order[r.doc_id])
+    rest = [r for r in rows if r.doc_id is None or r.doc_id >= 200]
+
+    def features(rows):
+        data = [(r.text or "").encode() for r in rows]
+        text = qc.text_features(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(d) for d in data])))
+        return [text, (np.repeat(np.arange(len(rows)), 3), np.array([r.m for r in rows], np.int64).ravel())]
+
+    sizes = [1 << qc.BITS, 1 << 12]
+    ys = [np.array([labels[r.doc_id][k] for r in first], float) for k in (1, 2)]
+    want = qc.co_train(features(first), sizes, ys, 2, lambda t: qc.tally(t, features(rest), len(rest), sizes).astype(float))
+    for a, b in zip(got, want):
+        assert np.allclose(a.chance(features(rest), len(rest)), b.chance(features(rest), len(rest)), atol=1e-3)
