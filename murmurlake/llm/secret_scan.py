@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
 import itertools
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,25 +40,31 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-
 #: What any secret, or any encoding of one, stands in whole: characters that all are ASCII, 12 at least.
 _RUN = re.compile(rb"[\t\r\n\f\x20-\x7e]{12,}")
 _ODD = re.compile(rb"[\x00-\x08\x0b\x0e-\x1f\x7f]")
-_PLAIN_WORD = re.compile(r"[A-Za-z]?[a-z]*\Z")
+#: Where compressed data may begin.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|[\x08-\x78][\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _SOME_ESCAPE = r"%[0-9A-Fa-f]{2}|\\[uUx]"
 
 SCHEMA = "doc_id bigint, kind string, start bigint, end bigint, depth int, path string, fingerprint string"
 
 
 class Layer:
-    """A text that was reached by decoding. ``at`` gives the span of the whole document that any span of it is from:
-    for escapes decoded in place character by character, for a decoded block the block's own span."""
+    """A text that was reached by decoding, and the span of the whole document that any span of it is from: by
+    character where escapes are decoded in place (``starts``, ``ends``), for a decoded block and all within it the
+    block's own ``span``, in the document itself the same. Places are always the document's, however deep the layer."""
 
-    def __init__(self, text: str, path: tuple[str, ...], starts: list[int] | None = None, ends: list[int] | None = None, parent: Layer | None = None, span: tuple[int, int] | None = None):
-        self.text, self.path, self.starts, self.ends, self.parent, self.span = text, path, starts, ends, parent, span
+    def __init__(self, text: str, path: tuple[str, ...], starts: list[int] | None = None, ends: list[int] | None = None, span: tuple[int, int] | None = None):
+        self.text, self.path, self.starts, self.ends, self.span = text, path, starts, ends, span
 
     def at(self, start: int, end: int) -> tuple[int, int]:
-        if self.parent is None:
-            return start, end
         if self.span is not None:
-            return self.parent.at(*self.span)
-        return self.parent.at(self.starts[start], self.ends[max(start, end - 1)])
+            return self.span
+        if self.starts is None:
+            return start, end
+        return (self.starts[start], self.ends[max(start, end - 1)]) if self.starts else (0, 0)
+
+    def block(self, text: str, path: tuple[str, ...], span: tuple[int, int]) -> Layer:
+        """A block of this layer, decoded."""
+        return Layer(text, (*self.path, *path), span=self.at(*span))
 
 
 def escapes(match: re.Match) -> list[tuple[str, int, int]]:
@@ -99,95 +108,108 @@ def percents(match: re.Match) -> list[tuple[str, int, int]]:
 def in_place(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
     """The layer with all escapes of a kind decoded, or None if that changes nothing."""
     parts, starts, ends, done, text = [], [], [], 0, layer.text
+    mapped = layer.span is None
     for match in pattern.finditer(text):
         parts.append(text[done : match.start()])
-        starts += range(done, match.start())
-        ends += range(done + 1, match.start() + 1)
+        if mapped:
+            starts += range(done, match.start())
+            ends += range(done + 1, match.start() + 1)
         for char, a, b in decode(match):
             parts.append(char)
-            starts.append(a)
-            ends.append(b)
+            if mapped:
+                starts.append(a)
+                ends.append(b)
         done = match.end()
     if not parts:
         return None
     parts.append(text[done:])
+    new = "".join(parts)
+    if new == text:
+        return None
+    path = (*layer.path, name)
+    if not mapped:
+        return Layer(new, path, span=layer.span)
     starts += range(done, len(text))
     ends += range(done + 1, len(text) + 1)
-    new = "".join(parts)
-    return None if new == text else Layer(new, (*layer.path, name), starts, ends, layer)
+    if layer.starts is not None:
+        starts, ends = [layer.starts[a] for a in starts], [layer.ends[b - 1] for b in ends]
+    return Layer(new, path, starts, ends)
+
+
+def opener(raw: bytes):
+    """What decompresses data that begins so, and whether it takes small parts only; None if nothing does."""
+    if raw[:2] == b"\x1f\x8b" or weak(raw):
+        return zlib.decompressobj(47), False
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), False
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(), False
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj(), True
+    return None
+
+
+def weak(raw: bytes) -> bool:
+    """Whether data begins like zlib's, which other data often does."""
+    return len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def streamed(source: Iterator[bytes], whole: list[int] | None = None) -> Iterator[bytes]:
+    """Decompressed chunks of the members (frames, streams) that stand one after another in data that comes in chunks;
+    nothing if it isn't compressed. Damaged data and what follows the last member end it. ``whole`` gets an entry for
+    each member that is complete."""
+    unpacker, small, held = None, False, b""
+    for data in source:
+        held += data
+        while True:
+            if unpacker is None:
+                if not held or (found := opener(held)) is None:
+                    break
+                unpacker, small = found
+            try:
+                if small:
+                    part, held = held[:4096], held[4096:]
+                    out = unpacker.decompress(part) if part else b""
+                else:
+                    out = unpacker.decompress(held, CHUNK_BYTES)
+                    held = getattr(unpacker, "unconsumed_tail", b"")
+            except Exception:  # noqa: BLE001 - each library has its own errors for data that only looks compressed
+                return
+            if out:
+                yield out
+            if unpacker.eof:
+                held, unpacker = unpacker.unused_data + (held if small else b""), None
+                if whole is not None:
+                    whole.append(len(held))
+            elif not held and len(out) < CHUNK_BYTES:
+                break
+        if unpacker is None and held:
+            return
 
 
 def unpacked(raw: bytes) -> tuple[bytes | None, bool]:
-    """Decompressed bytes of gzip, zlib, bzip2, xz or zstandard data, and whether they were too many; None if it is
-    none of these."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            out = zlib.decompressobj(47).decompress(raw, LAYER_BYTES + 1)
-        elif raw[:3] == b"BZh":
-            import bz2
-
-            out = bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES + 1)
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            import lzma
-
-            out = lzma.LZMADecompressor().decompress(raw, LAYER_BYTES + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(LAYER_BYTES + 1)
-        else:
-            return None, False
-    except Exception:  # noqa: BLE001 - each library has its own errors for data that only looks compressed
+    """Decompressed bytes of all members, and whether they were too many; None if it isn't compressed or holds nothing.
+    Of damaged data what comes before the damage counts, but for zlib's, which other data may look like."""
+    parts, size, whole = [], 0, []
+    raw = bytes(raw)
+    for part in streamed(iter([raw]), whole):
+        parts.append(part)
+        size += len(part)
+        if size > LAYER_BYTES:
+            return None, True
+    if not whole and weak(raw):
         return None, False
-    return (None, True) if len(out) > LAYER_BYTES else (out or None, False)
+    return b"".join(parts) or None, False
 
 
 def inflated(source: Iterator[bytes]) -> Iterator[bytes]:
-    """Decompressed chunks of a stream, through as many compressions as it has; a damaged stream ends early."""
+    """Decompressed chunks of a stream, through as many compressions as it has."""
     first = next(source, b"")
     source = itertools.chain([first], source)
-    if first[:2] == b"\x1f\x8b" or (len(first) > 2 and first[0] & 15 == 8 and (first[0] << 8 | first[1]) % 31 == 0):
-        unpacker = zlib.decompressobj(47)
-    elif first[:3] == b"BZh":
-        import bz2
-
-        unpacker = bz2.BZ2Decompressor()
-    elif first[:6] == b"\xfd7zXZ\x00":
-        import lzma
-
-        unpacker = lzma.LZMADecompressor()
-    elif first[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        unpacker = None
-    else:
+    if opener(first) is None:
         yield from source
-        return
-
-    def chunks() -> Iterator[bytes]:
-        try:
-            if unpacker is None:
-                feed = zstandard.ZstdDecompressor().decompressobj()
-                for data in source:  # by small parts, so that little is held at once
-                    for k in range(0, len(data), 4096):
-                        if out := feed.decompress(data[k : k + 4096]):
-                            yield out
-                return
-            for data in source:
-                while True:
-                    out = unpacker.decompress(data, CHUNK_BYTES)
-                    if out:
-                        yield out
-                    data = getattr(unpacker, "unconsumed_tail", b"")
-                    if unpacker.eof or not data and len(out) < CHUNK_BYTES:
-                        break
-                if unpacker.eof:
-                    return
-        except Exception:  # noqa: BLE001 - as in unpacked
-            return
-
-    yield from inflated(chunks())
+    else:
+        yield from inflated(streamed(source))
 
 
 def overlapping(source: Iterator[bytes]) -> Iterator[bytes]:
@@ -247,18 +269,19 @@ def blocks(layer: Layer) -> Iterator[tuple[Layer | Iterator[Layer] | None, tuple
     unpacks to too much None and then its chunks."""
 
     def unpack(raw: bytes, span: tuple[int, int]) -> Iterator[tuple[Layer | Iterator[Layer] | None, tuple[int, int]]]:
-        path, too_much = ("base64",), False
-        while True:
+        path, too_much, met = ("base64",), False, set()
+        while (mark := hashlib.sha256(raw).digest()) not in met:  # data that unpacks to itself ends here
+            met.add(mark)
             inner, too_much = unpacked(raw)
-            if inner is None or inner == raw or len(path) > 64:
+            if inner is None:
                 break
             raw, path = inner, (*path, "compressed")
         if too_much:
             yield None, span
             texts = filter(None, map(readable, overlapping(inflated(iter([raw])))))
-            yield (Layer(text, (*layer.path, *path, "compressed"), parent=layer, span=span) for text in texts), span
+            yield (layer.block(text, (*path, "compressed"), span) for text in texts), span
         elif (text := readable(raw)) is not None:
-            yield Layer(text, (*layer.path, *path), parent=layer, span=span), span
+            yield layer.block(text, path, span), span
 
     for match in _BASE64.finditer(layer.text):
         done, a, b = [], *match.span()
@@ -267,9 +290,6 @@ def blocks(layer: Layer) -> Iterator[tuple[Layer | Iterator[Layer] | None, tuple
             if any(p <= x and y <= q and not (p == x and "\n" in layer.text[y:q] and "=" not in layer.text[y:q]) for p, q in done):
                 continue
             block = re.sub(r"[\r\n=]", "", layer.text[x:y]).replace("-", "+").replace("_", "/")
-            # encoded text holds capitals or digits; without any beyond its first letter a block is a word
-            if _PLAIN_WORD.match(block):
-                continue
             raw = decoded(block)
             if len(block) % 4 != 1 and (clean(raw) or unpacked(raw) != (None, False)):
                 done.append((x, y))
@@ -279,17 +299,17 @@ def blocks(layer: Layer) -> Iterator[tuple[Layer | Iterator[Layer] | None, tuple
 
 
 def inside(layer: Layer, a: int, b: int, unpack) -> Iterator[tuple[Layer | Iterator[Layer] | None, tuple[int, int]]]:
-    """Layers of a block that is none from its beginning on: a path, a hyphen or an underscore may stand before it. For
-    each of the four ways to align it, what is text or compressed from a boundary on, else all of it with its odd bytes."""
+    """Layers of a block that is none from its beginning on: something else may stand before it. For each of the four
+    ways to align it, what is text or compressed from a path's slash, a hyphen or an underscore on, what looks
+    compressed from anywhere on, else all of it with its odd bytes."""
     places = [i for i in range(a, b) if layer.text[i] not in "\r\n="]
     block = "".join(layer.text[i] for i in places).replace("-", "+").replace("_", "/")
-    if _PLAIN_WORD.match(block):
-        return
-    starts: dict[int, list[int]] = {0: [0]}
+    starts: dict[int, list[int]] = {k: [k] for k in range(min(4, max(0, len(block) - 15)))}
     for m in re.finditer(r"[+/]", block):
         if layer.text[places[m.start()]] != "+" and len(block) - m.end() >= 16:
             starts.setdefault(m.end() % 4, []).append(m.end())
     for at in starts.values():
+        at = sorted(set(at))
         raw, base = decoded(block[at[0] :]), at[0]
         bad = max((m.end() for m in _ODD.finditer(raw)), default=0)
         for k in at:
@@ -297,9 +317,10 @@ def inside(layer: Layer, a: int, b: int, unpack) -> Iterator[tuple[Layer | Itera
             if rest >= bad and clean(raw[rest:]):
                 yield from unpack(raw[rest:], (places[k], b))
                 break
-            if unpacked(memoryview(raw)[rest:]) != (None, False):
-                yield from unpack(raw[rest:], (places[k], b))
         else:
+            for m in _MAGIC.finditer(raw):
+                if unpacked(raw[m.start() :]) != (None, False):
+                    yield from unpack(raw[m.start() :], (places[base + m.start() // 3 * 4], b))
             yield from unpack(raw, (places[base], b))
 
 
@@ -339,8 +360,9 @@ def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
     return sorted((kind, a, b, depth, path, mark) for (kind, a, b, mark), (depth, path) in found.items())
 
 
-#: Texts without any of these hold no secret and no layer.
-_WORTH = "|".join([_SOME_ESCAPE, r"AKIA|ASIA|gh[pousr]_|AIza|xox[abprs]-|[sr]k_|eyJ|-----BEGIN|(?i:passw|pwd|secret|token|key)", r"[A-Za-z0-9+/_-][a-z+/_-]*[A-Z0-9+/_-][A-Za-z0-9+/_-]{6}", r"[A-Za-z0-9+/_-]{7}[A-Z0-9+/_-]"])
+#: Texts without any of these hold no secret and no layer: the least that a secret takes is 12 characters, and so 16 of
+#: base64, that of a nested block more.
+_WORTH = "|".join([_SOME_ESCAPE, r"AKIA|ASIA|gh[pousr]_|AIza|xox[abprs]-|[sr]k_|eyJ|-----BEGIN|(?i:passw|pwd|secret|token|key)", r"[A-Za-z0-9+/_-]{16}"])
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,12 +370,15 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     a decoded block the block), how many layers down and by which decodings, and a fingerprint of its value.
 
     URL escapes and Unicode escapes are decoded over the whole layer, so what stands beside them counts too; base64
-    blocks (also URL-safe, also wrapped, also behind a path) that hold text, or compressed text, become layers of their
-    own; of other bytes the runs of ASCII do. A secret that several layers show at the same place counts once, at the
-    least depth. Null and empty texts have none; repeated rows are reported each; a null id stays null; other columns
-    are ignored; an empty table gives an empty one. A block that unpacks beyond ``LAYER_BYTES`` is reported as
-    ``oversize_layer`` and scanned in chunks; an encoded block in it that is longer than ``OVERLAP_BYTES`` may be cut
-    between two. Map only."""
+    blocks of 16 characters or more (also URL-safe, also wrapped at 16 or more, also with other characters of the
+    alphabet before them) that hold text, or compressed text of any number of members, become layers of their own; of
+    other bytes the runs of ASCII do. Layers are worked off until none is new; there is no limit of depth, and a very
+    long text that decodes to others as long time and again takes time for each. A secret that several layers show at
+    the same place counts once, at the least depth, of equal depths by the first path that leads there. Null and empty
+    texts have none; very long ones are scanned whole; repeated rows are reported each; a null id stays null; other
+    columns are ignored, whatever their names; an empty table gives an empty one. A block that unpacks beyond
+    ``LAYER_BYTES`` is reported as ``oversize_layer`` and scanned in chunks; an encoded block in it that is longer than
+    ``OVERLAP_BYTES`` may be cut between two. Map only."""
     prepare(docs.sparkSession)
     names = ["doc_id", "kind", "start", "end", "depth", "path", "fingerprint"]
 
