@@ -53,9 +53,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
 
+def url_filters_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The propagation over links between the pages' hosts, of which the pages themselves have none."""
+    return url_filters.url_filter(url_filters.linked(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_packing, op4_secret_scan, op5_quality_rules, op6_lm_scoring, op7_quality_classifier, op8_near_duplicates, op9_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_packing, op4_secret_scan, op5_quality_rules, op6_lm_scoring, op7_quality_classifier, op8_near_duplicates, op9_decontamination, op10_url_filters, url_filters_linked)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.sql(), "op9_decontamination": decontamination.sql(), "op10_url_filters": url_filters.sql()}
+    return {"op5_quality_rules": quality_rules.sql(), "op9_decontamination": decontamination.sql(), "op10_url_filters": url_filters.sql(), "url_filters_linked": url_filters.sql(url_filters.LINKED_SQL)}

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.llm.common import written
+from murmurlake.llm.common import dropped, written
 
-#: Seeds: ends of trusted hosts, and words that the labels of blocked hosts hold.
-TRUSTED_ENDS, BLOCKED_WORDS = (".edu", ".gov", ".org"), ("casino", "porn", "spam", "malware")
-#: Share of a host's score that follows links; rounds; distrust (1: a blocked seed's own) from which a host is dropped.
-DAMPING, ROUNDS, LIMIT = 0.85, 20, 0.05
-#: Rounds after which ranks are written, so that lineage and plans stay short.
-WRITE_EVERY = 4
+#: Seeds where no tables are given: domains; a host is one's if it is the domain or ends in a dot and the domain.
+TRUSTED = ("edu", "gov", "example.org")
+BLOCKED = tuple(f"{name}.example.{end}" for name in ("casino-win", "spam-farm", "free-bets", "cheap-pills", "adult-x", "ads-track") for end in ("com", "net", "org"))
+#: Share of a host's score that follows links; rounds at most, and change of all scores together from which they end;
+#: distrust (1: a blocked seed's own) from which a host is dropped.
+DAMPING, ROUNDS, TOLERANCE, LIMIT = 0.85, 20, 1e-12, 0.05
 
 _LINK = r"(?i)href\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
@@ -30,65 +30,90 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return pairs.where("src is not null and dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def seeds_of(host: Column, ends: tuple[str, ...], words: tuple[str, ...]) -> tuple[Column, Column]:
-    trusted = F.lit(False)
-    for end in ends:
-        trusted = trusted | host.endswith(end)
-    blocked = F.lit(False)
-    for word in words:
-        blocked = blocked | host.contains(word)
-    return trusted & ~blocked, blocked
+def domains(spark, names: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "domain string")
 
 
-def host_scores(edges: DataFrame, hosts: DataFrame, ends: tuple[str, ...], words: tuple[str, ...], damping: float, rounds: int) -> DataFrame:
-    """``host, trust, distrust``, in multiples of what a lone seed has of its own.
+def seeded(hosts: DataFrame, trusted: DataFrame, blocked: DataFrame) -> DataFrame:
+    """``host, trusted, blocked``: whether a host or a domain that it is in stands in either table; blocked wins."""
+    parts = F.split("host", r"\.")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    listed = [t.select(F.lower(F.trim(t.columns[0])).alias("domain"), F.lit(k).alias("kind")) for t, k in ((trusted, 0), (blocked, 1))]
+    found = hosts.select("host", F.explode(up).alias("domain")).join(listed[0].unionAll(listed[1]).where("domain <> ''").distinct(), "domain")
+    kind = found.groupBy("host").agg(F.max("kind").alias("kind"))
+    return hosts.join(kind, "host", "left").select("host", F.coalesce(F.col("kind") == 0, F.lit(False)).alias("trusted"), F.coalesce(F.col("kind") == 1, F.lit(False)).alias("blocked"))
 
-    Personalised PageRank; what reaches a host without links goes back to the seeds. Both directions are one graph
-    of two kinds, so a round is one join."""
-    trusted, blocked = seeds_of(F.col("host"), ends, words)
-    kinds = hosts.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), trusted.cast("double").alias("seed")), F.struct(F.lit("d").alias("kind"), blocked.cast("double").alias("seed")))).alias("k")).select("host", "k.kind", "k.seed")
+
+def host_scores(edges: DataFrame, hosts: DataFrame, damping: float, rounds: int) -> DataFrame:
+    """``host, blocked, trust, distrust`` of ``host, trusted, blocked``, the scores in multiples of what a lone seed has
+    of its own.
+
+    Personalised PageRank; what reaches a host without links goes back to the seeds. Both directions are one graph of
+    two kinds, so a round is one join along the links; it is written, which ends its lineage, and the one before is
+    deleted. Rounds end when scores stand still; without links there are none."""
+    seed = F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("trusted").cast("double").alias("seed")), F.struct(F.lit("d").alias("kind"), F.col("blocked").cast("double").alias("seed"))))
+    kinds = hosts.select("host", "blocked", seed.alias("k")).select("host", "blocked", "k.kind", "k.seed")
     total = kinds.groupBy("kind").agg(F.sum("seed").alias("seeds"))
     both = edges.select(F.lit("t").alias("kind"), "src", "dst", "n").unionAll(edges.select(F.lit("d"), "dst", "src", "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    graph = written(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("share")), "graph")
-    ends_ = graph.select("kind", "host").distinct().withColumn("links", F.lit(True))
-    base = kinds.join(F.broadcast(total), "kind").join(ends_, ["kind", "host"], "left")
-    base = written(base.select("kind", "host", F.coalesce(F.col("seed") / F.nullif("seeds", F.lit(0.0)), F.lit(0.0)).alias("s"), "seeds", F.coalesce("links", F.lit(False)).alias("links")), "base")
-    rank = base.select("kind", "host", F.col("s").alias("r"))
-    for k in range(rounds):
-        flow = rank.join(graph, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
-        lost = rank.join(base.where("not links").select("kind", "host"), ["kind", "host"]).groupBy("kind").agg(F.sum("r").alias("lost"))
-        rank = base.join(flow, ["kind", "host"], "left").join(F.broadcast(lost), "kind", "left").select("kind", "host", (F.col("s") * ((1 - damping) + damping * F.coalesce("lost", F.lit(0.0))) + damping * F.coalesce("in", F.lit(0.0))).alias("r"))
-        if (k + 1) % WRITE_EVERY == 0 or k == rounds - 1:
-            rank = written(rank, "rank")
-    scaled = rank.join(base.select("kind", "host", "seeds"), ["kind", "host"]).withColumn("x", F.col("r") * F.col("seeds") / (1 - damping))
-    return scaled.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("x")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("x")).otherwise(0.0)).alias("distrust"))
-
-
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trusted_ends: tuple[str, ...] = TRUSTED_ENDS, blocked_words: tuple[str, ...] = BLOCKED_WORDS, damping: float = DAMPING, rounds: int = ROUNDS, limit: float = LIMIT) -> DataFrame:
+    start = F.coalesce(F.col("seed") / F.nullif("seeds", F.lit(0.0)), F.lit(0.0))
+    base = kinds.join(F.broadcast(total), "kind").join(out.withColumnRenamed("src", "host"), ["kind", "host"], "left")
+    rank = written(base.select("kind", "host", "blocked", start.alias("s"), "seeds", F.col("out").isNotNull().alias("links"), start.alias("r"), F.lit(0.0).alias("moved")), "rank")
+    if edges.limit(1).count():
+        graph = written(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("share")), "graph")
+        for _ in range(rounds):
+            lost = {row.kind: row.lost or 0.0 for row in rank.groupBy("kind").agg(F.sum(F.when(~F.col("links"), F.col("r"))).alias("lost")).collect()}
+            back = F.when(F.col("kind") == "t", F.lit(lost.get("t", 0.0))).otherwise(F.lit(lost.get("d", 0.0)))
+            flow = rank.where("r > 0 and links").select("kind", "host", "r").join(graph, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
+            now = F.col("s") * ((1 - damping) + damping * back) + damping * F.coalesce("in", F.lit(0.0))
+            before, rank = rank, written(rank.join(flow, ["kind", "host"], "left").select("kind", "host", "blocked", "s", "seeds", "links", now.alias("r"), F.abs(now - F.col("r")).alias("moved")), "rank")
+            dropped(before)
+            if (rank.agg(F.sum("moved")).first()[0] or 0.0) <= TOLERANCE:
+                break
+        dropped(graph)
+    scaled = F.col("r") * F.col("seeds") / (1 - damping)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, scaled).otherwise(0.0))
+    return rank.groupBy("host").agg(F.bool_or("blocked").alias("blocked"), of("t").alias("trust"), of("d").alias("distrust"))
+
+
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trusted: DataFrame | None = None, blocked: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS, limit: float = LIMIT) -> DataFrame:
     """``page_id, host, trust, distrust, keep`` for each row of ``pages``.
 
-    A host is dropped if its distrust is at least ``limit`` and above its trust; blocked seeds always are. Links
-    within a host, relative ones among them, carry nothing. Scores are rounded to nine digits. Rows without a host
-    (null or odd URLs) have no score and are kept; hosts that are only linked to take part in the propagation;
-    repeated rows count as repeated links and are reported each; an empty table gives an empty one; other columns are
-    ignored."""
+    ``trusted`` and ``blocked`` are tables of domains in their first column (``TRUSTED`` and ``BLOCKED`` where they
+    aren't given); hosts in both are blocked. A host is dropped if its distrust is at least ``limit`` and above its
+    trust, so at a tie it is kept; blocked seeds always are. Links within a host, relative ones among them, carry
+    nothing. Scores are rounded to nine digits. Rows without a host (null or odd URLs) have no score and are kept; null
+    and empty ``html`` has no links, a very long one is read whole; hosts that are only linked to take part in the
+    propagation; repeated rows count as repeated links and are reported each; an empty table gives an empty one; other
+    columns are ignored, whatever their names."""
+    spark = pages.sparkSession
+    trusted = domains(spark, TRUSTED) if trusted is None else trusted
+    blocked = domains(spark, BLOCKED) if blocked is None else blocked
     edges = written(host_edges(pages, url_col, html_col), "edges")
     named = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host_of(F.col(url_col)).alias("host"))
     hosts = named.select("host").unionAll(edges.select("dst")).where("host is not null").distinct()
-    scores = host_scores(edges, hosts, trusted_ends, blocked_words, damping, rounds).select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
-    scores = written(scores, "scores")
-    _, blocked = seeds_of(F.col("host"), trusted_ends, blocked_words)
-    drop = (blocked | ((F.col("distrust") >= limit) & (F.col("distrust") > F.col("trust"))))
+    scores = host_scores(edges, seeded(hosts, trusted, blocked), damping, rounds)
+    scores = scores.select("host", "blocked", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    drop = F.col("blocked") | ((F.col("distrust") >= limit) & (F.col("distrust") > F.col("trust")))
     return named.join(scores, "host", "left").select("page_id", "host", "trust", "distrust", F.coalesce(~drop, F.lit(True)).alias("keep"))
 
 
-def sql(pages: str = "pages", trusted_ends: tuple[str, ...] = TRUSTED_ENDS, blocked_words: tuple[str, ...] = BLOCKED_WORDS, damping: float = DAMPING, rounds: int = ROUNDS, limit: float = LIMIT) -> str:
+def linked(pages: DataFrame) -> DataFrame:
+    """``pages`` with links in place of their own text: each links to the page with the next id, whose host differs for
+    most. The tables' pages have only relative links; on these the propagation can be compared at their size."""
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.concat(F.lit('<a href="'), "url", F.lit('">')).alias("html"))
+    return pages.select("page_id", "url").join(after, "page_id", "left")
+
+
+LINKED_SQL = """(SELECT a.page_id, a.url, '<a href="' || b.url || '">' AS html FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1)"""
+
+
+def sql(pages: str = "pages", trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED, damping: float = DAMPING, rounds: int = ROUNDS, limit: float = LIMIT) -> str:
     """The same in DuckDB SQL, a common table expression for each round."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     host = "nullif(lower(regexp_extract({}, " + quote(_HOST) + ", 1)), '')"
-    blocked = " OR ".join(f"contains(host, {quote(w)})" for w in blocked_words) or "false"
-    trusted = " OR ".join(f"ends_with(host, {quote(e)})" for e in trusted_ends) or "false"
+    within = lambda names: " OR ".join(f"ends_with('.' || host, {quote('.' + n)})" for n in names) or "false"
+    trusted, blocked = within(trusted), within(blocked)
     steps = "".join(
         f""",
 r{k + 1} AS MATERIALIZED (SELECT base.kind, base.host, s * ({1 - damping!r} + {damping!r} * coalesce(lost, 0)) + {damping!r} * coalesce(i, 0) AS r FROM base

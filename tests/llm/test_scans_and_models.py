@@ -118,7 +118,9 @@ def brute_rank(links, nodes, seeds, damping, rounds):
 
 def test_url_filter_equals_brute_force_and_sql(spark):
     df = spark.createDataFrame([(*p, "h", 1.0) for p in PAGES], "page_id bigint, url string, html string, host string, trust double")
-    got = sorted(map(tuple, url_filters.url_filter(df, rounds=6).collect()), key=str)
+    seeds = ("edu", "gov"), ("bad-casino.com", "casino.x")
+    tables = {k: spark.createDataFrame([(x, 1) for x in v], "name string, other int") for k, v in zip(("trusted", "blocked"), seeds)}
+    got = sorted(map(tuple, url_filters.url_filter(df, rounds=6, **tables).collect()), key=str)
     links = {("a.edu", "b.com"): 1, ("a.edu", "c.com"): 1, ("b.com", "c.com"): 2, ("c.com", "bad-casino.com"): 1, ("c.com", "d.com"): 1, ("bad-casino.com", "c.com"): 1, ("e.com", "casino.x"): 2, ("e.com", "a.edu"): 1}
     nodes = {x for p in links for x in p}
     trust = brute_rank(links, nodes, {"a.edu"}, 0.85, 6)
@@ -132,10 +134,16 @@ def test_url_filter_equals_brute_force_and_sql(spark):
     con = duckdb.connect()
     con.register("p", df.toPandas())
     con.execute("create table pages as select page_id::bigint as page_id, url, html from p")
-    want = con.execute(url_filters.sql(rounds=6)).fetchall()
+    want = con.execute(url_filters.sql(trusted=seeds[0], blocked=seeds[1], rounds=6)).fetchall()
     clean = lambda rows: sorted(str([None if x is None or x != x else x if isinstance(x, (str, bool)) else round(x, 7) for x in r]) for r in rows)
     assert clean(want) == clean(got)
     assert url_filters.url_filter(df.limit(0)).collect() == []
+    # very long and empty pages; no links at all; a domain isn't part of a word
+    rows = [(1, "https://x.edu/", "<p>" * 400_000 + "<a href=https://y.com>"), (2, "https://y.com", ""), (3, "https://my-x.edu.y.com", None), (4, "https://notedu", "")]
+    got = {r.page_id: (r.trust > 0, r.keep) for r in url_filters.url_filter(spark.createDataFrame(rows, "page_id bigint, url string, html string"), **tables).collect()}
+    assert got == {1: (True, True), 2: (True, True), 3: (False, True), 4: (False, True)}
+    got = {r.page_id: r.trust for r in url_filters.url_filter(spark.createDataFrame(rows[1:], "page_id bigint, url string, html string"), **tables).collect()}
+    assert got == {2: 0.0, 3: 0.0, 4: 0.0}
 
 
 def corpus(n, seed):
