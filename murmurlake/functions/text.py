@@ -60,13 +60,6 @@ def lexical_tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS, least: int
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
-def lexical_words(df: DataFrame, text: str, columns: list[str], name: str = "word", stop: tuple[str, ...] = STOP_WORDS, least: int = 3) -> DataFrame:
-    """The same words, a row for each with ``columns`` beside it: filtered as rows, so in generated code."""
-    parts = df.select(*columns, F.explode(_lexical_parts(F.coalesce(text, F.lit("")))).alias("__part"))
-    words = parts.select(*columns, F.btrim("__part", F.lit("-")).alias(name))
-    return words.where((F.length(name) >= least) & ~F.col(name).isin(*stop))
-
-
 def phrase_tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 3, keep: tuple[str, ...] = ("us", "un", "eu", "uk"), clip: int | None = None) -> Column:
     """Words of a message for phrases, in order; ``keep`` are kept although short. ``clip`` cuts the text first."""
     text = F.left(text, F.lit(clip)) if clip else text
@@ -78,8 +71,9 @@ def phrase_tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS, least: int =
 
 def ngrams(tokens: Column, n: int) -> Column:
     """The n-grams of a token array, as strings; empty if it is shorter."""
-    places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(tokens, k + 1, count).alias(f"w{k}") for k in range(n)))
+    return F.transform(shifted, lambda x: F.concat_ws(" ", *(x[f"w{k}"] for k in range(n))))
 
 
 def shorten(text: Column, width: int, blank: str = "(media-only message)") -> Column:

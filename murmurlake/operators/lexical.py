@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurlake.functions.shared import written
-from murmurlake.functions.text import lexical_tokens, lexical_words
+from murmurlake.functions.text import lexical_tokens
 from murmurlake.functions.timegrid import period_index
 
 
@@ -42,10 +42,14 @@ def tfidf(counts: DataFrame, doc: str, features: int, docs: DataFrame | int) ->
 
 
 def period_tfidf(messages: DataFrame, periods: int = 4, features: int = 500) -> DataFrame:
-    """Score of each term in each period, every period being one document; hyphenated words count by their parts."""
-    words = lexical_words(messages, "text", ["timestamp"])
-    each = words.groupBy("timestamp", "word").agg(F.count("*").alias("c"))
-    parts = with_period(written(each, "words"), periods).select("period", "c", F.explode(F.split("word", "-")).alias("term")).where("length(term) >= 2")
+    """Score of each term in each period, every period being one document; hyphenated words count by their parts.
+
+    Texts are cleaned once and the words written as they are; the bounds of time read one column of that, and the
+    counts by period and term merge in each task before they move."""
+    words = written(tokens(messages).select("timestamp", "tokens"), "words")
+    rows = with_period(words, periods).select("period", F.explode("tokens").alias("word"))
+    whole = rows.groupBy("period", "word").agg(F.count("*").alias("c"))
+    parts = whole.select("period", "c", F.explode(F.split("word", "-")).alias("term")).where("length(term) >= 2")
     counts = parts.groupBy("period", "term").agg(F.sum("c").alias("n"))
     return tfidf(counts, "period", features, periods).select(F.col("period").cast("bigint").alias("period"), "term", "n", F.round("score", 9).alias("score"))
 
@@ -120,3 +124,26 @@ def class_tfidf(messages: DataFrame, topic: str, features: int = 5000, k: int =
     score = F.col("n") / words * (F.log((1.0 + F.col("grand")) / (1 + F.col("total"))) + 1)
     ranked = kept.crossJoin(grand).withColumn("score", F.round(score, 9)).withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "term")).cast("bigint"))
     return ranked.where(F.col("place") <= k).select("topic", "place", "term", "score")
+
+
+def word_cloud(messages: DataFrame, top: int = 120, stop: DataFrame | None = None) -> DataFrame:
+    """The ``top`` commonest words with their numbers, ties by word; ``stop`` (``word``) is left out too."""
+    rows = tokens(messages).select(F.explode("tokens").alias("word"))
+    if stop is not None:
+        rows = rows.join(stop.select("word").distinct(), "word", "left_anti")
+    return rows.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
+
+
+def name_words(names: DataFrame, column: str) -> DataFrame:
+    """``word``: the words of channels' names as stop-words, three letters at least."""
+    return names.select(F.explode(lexical_tokens(F.coalesce(column, F.lit("")))).alias("word")).distinct()
+
+
+def summary(messages: DataFrame, periods: int = 4, features: int = 500) -> DataFrame:
+    """One row: messages with words, words, different words, periods that have any, terms that are scored."""
+    own = written(tokens(messages).select("timestamp", "tokens"), "words")
+    base = own.agg(F.count("*").alias("messages"), F.sum(F.size("tokens").cast("bigint")).alias("tokens"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    distinct = own.select(F.explode("tokens").alias("w")).distinct().agg(F.count("*").alias("unique_tokens"))
+    held = with_period(own, periods).select("period").distinct().agg(F.count("*").alias("periods"))
+    terms = period_tfidf(messages, periods, features).select("term").distinct().agg(F.count("*").alias("terms"))
+    return base.crossJoin(F.broadcast(distinct)).crossJoin(F.broadcast(held)).crossJoin(F.broadcast(terms))

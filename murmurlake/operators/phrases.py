@@ -2,43 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurlake.functions.text import ngrams, phrase_tokens
+from murmurlake.functions.shared import written
+from murmurlake.functions.text import ngrams, phrase_tokens, shorten
 
 
-def tokens(messages: DataFrame) -> DataFrame:
-    own = messages.select("message_id", "timestamp", phrase_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return own.where(F.size("tokens") > 0)
+def tokens(messages: DataFrame, stop: tuple[str, ...] | None = None) -> DataFrame:
+    """``message_id, timestamp, tokens`` of the messages with words; texts are cleaned once and the words written."""
+    words = phrase_tokens(F.coalesce("text", F.lit(""))) if stop is None else phrase_tokens(F.coalesce("text", F.lit("")), stop)
+    own = messages.select("message_id", "timestamp", words.alias("tokens"))
+    return written(own.where(F.size("tokens") > 0), "tokens")
 
 
 def counts(tokenised: DataFrame, n: int) -> DataFrame:
-    """Each n-gram's occurrences, messages, first and last time; none crosses messages."""
-    grams = tokenised.select("message_id", "timestamp", F.explode(ngrams(F.col("tokens"), n)).alias("phrase"))
-    each = grams.groupBy("phrase", "message_id").agg(F.count("*").alias("c"), F.min("timestamp").alias("t"))
-    return each.groupBy("phrase").agg(F.sum("c").alias("n"), F.count("*").alias("messages"), F.min("t").alias("first_at"), F.max("t").alias("last_at"))
+    """Each n-gram's occurrences, messages, first and last time; none crosses messages.
+
+    A message's n-grams come as rows twice, all of them and each once: both are counted by phrase alone, so a task's
+    repetitions merge before they move."""
+    grams = ngrams(F.col("tokens"), n)
+    all_ = tokenised.select("timestamp", F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    once = tokenised.select(F.explode(F.array_distinct(grams)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("messages"))
+    return all_.join(once, "phrase").select("phrase", "n", "messages", "first_at", "last_at")
 
 
 def pmi(tokenised: DataFrame, n: int, least: int, floor: float | None = 3.0) -> DataFrame:
     """N-grams of ``least`` occurrences with their mutual information and network score; words count in messages of
-    n words at least."""
+    n words at least.
+
+    Only n-grams that occur often enough meet the words' counts, one row of each for its n words."""
     eligible = tokenised.where(F.size("tokens") >= n)
     words = eligible.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    total = F.broadcast(words.agg(F.sum("c").cast("double").alias("total")))
-    out = counts(eligible, n).where(F.col("n") >= least).withColumn("parts", F.split("phrase", " "))
-    for i in range(n):
-        out = out.withColumn(f"w{i}", F.col("parts")[i]).join(words.select(F.col("w").alias(f"w{i}"), F.col("c").alias(f"c{i}")), f"w{i}")
-    product: Column = F.lit(0.0)
-    for i in range(n):
-        product = product + F.log2(F.col(f"c{i}").cast("double"))
-    value = F.log2(F.col("n").cast("double")) + (n - 1) * F.log2("total") - product
-    out = out.crossJoin(total).withColumn("pmi", F.round(value, 6))
+    total = F.broadcast(eligible.agg(F.sum(F.size("tokens")).cast("double").alias("total")))
+    frequent = written(counts(eligible, n).where(F.col("n") >= least), "frequent")
+    parts = frequent.select("phrase", F.explode(F.split("phrase", " ")).alias("w"))
+    logs = parts.join(words, "w").groupBy("phrase").agg(F.sum(F.log2(F.col("c").cast("double"))).alias("logs"))
+    value = F.log2(F.col("n").cast("double")) + (n - 1) * F.log2("total") - F.col("logs")
+    out = frequent.join(logs, "phrase").crossJoin(total).withColumn("pmi", F.round(value, 6))
     if floor is not None:
         out = out.where(F.col("pmi") >= floor)
     return out.select("phrase", "n", "messages", "first_at", "last_at", "pmi", F.round(F.col("pmi") * F.col("n"), 6).alias("network_score"))
 
 
+def table(messages: DataFrame, n: int, least: int, floor: float | None = 3.0, entity_terms: DataFrame | None = None) -> DataFrame:
+    """``pmi`` ranked, with the words one by one, the first message that has the phrase (least id on ties) and its
+    shortened text, and whether a word of it is in ``entity_terms`` (``term``)."""
+    tokenised = tokens(messages)
+    scored = pmi(tokenised, n, least, floor)
+    uses = tokenised.select("message_id", "timestamp", F.explode(F.array_distinct(ngrams(F.col("tokens"), n))).alias("phrase")).join(scored.select("phrase"), "phrase", "left_semi")
+    first = uses.groupBy("phrase").agg(F.min(F.struct("timestamp", "message_id")).alias("e")).select("phrase", F.col("e.message_id").alias("message_id"))
+    shown = first.join(messages.select("message_id", shorten(F.col("text"), 160).alias("example")), "message_id").select("phrase", F.col("message_id").alias("example_id"), "example")
+    flagged = scored.select("phrase", F.explode(F.split("phrase", " ")).alias("term"))
+    known = entity_terms.select("term").distinct() if entity_terms is not None else flagged.select("term").limit(0)
+    hits = flagged.join(known, "term", "left_semi").select("phrase").distinct().withColumn("entity_term", F.lit(True))
+    place = F.row_number().over(Window.orderBy(F.desc("pmi"), F.desc("n"), F.desc("messages"), "phrase")).cast("bigint")
+    out = scored.join(shown, "phrase").join(hits, "phrase", "left").withColumn("rank", place)  # phrases are few: those over both thresholds
+    return out.select("rank", "phrase", "n", "messages", "first_at", "last_at", "pmi", "network_score", "example_id", "example", F.coalesce("entity_term", F.lit(False)).alias("entity_term"))
+
+
 def halves(tokenised: DataFrame) -> DataFrame:
     """Adds ``half``: 1 up to the median time, 2 after it."""
     micros = F.percentile(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(0.5)).cast("bigint")
@@ -76,3 +98,21 @@ def summary(messages: DataFrame, least: int = 5, floor: float = 3.0, least_three
     two = pmi(own, 2, least, floor).agg(F.count("*").alias("pairs"))
     three = pmi(own, 3, least_three, floor).agg(F.count("*").alias("triples"))
     return base.crossJoin(F.broadcast(distinct)).crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))
+
+
+def scaled(df: DataFrame, column: str, low: float, high: float, name: str = "size") -> DataFrame:
+    """Adds ``name``: the column between ``low`` and ``high`` by its least and greatest value, their middle where it
+    has one value only."""
+    bounds = F.broadcast(df.agg(F.min(column).cast("double").alias("__low"), F.max(column).cast("double").alias("__high")))
+    span = F.col("__high") - F.col("__low")
+    size = F.when(F.abs(span) <= 1e-9 * F.greatest(F.abs("__low"), F.abs("__high")), (low + high) / 2).otherwise(low + (F.col(column) - F.col("__low")) / span * (high - low))
+    return df.crossJoin(bounds).withColumn(name, F.round(size, 6)).drop("__low", "__high")
+
+
+def communities(edges_: DataFrame, top: int = 40) -> DataFrame:
+    """``word, community`` of the strongest ``top`` pairs by modularity; so many edges are one task's work at any size."""
+    from murmurlake.operators.entities import communities as of
+
+    best = edges_.orderBy(F.desc("weight"), "src", "dst").limit(top)
+    pairs = best.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("n").alias("weight"))
+    return of(pairs).withColumnRenamed("entity", "word")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,18 @@ def depths(messages: DataFrame) -> DataFrame:
     known = rows.select("channel_id", F.col("message_id").alias("parent"), F.lit(True).alias("present"))
     base = rows.join(known, ["channel_id", "parent"], "left")
     now = base.select("channel_id", "message_id", F.coalesce("parent", "message_id").alias("up"), F.col("parent").isNotNull().cast("bigint").alias("depth"), (F.col("parent").isNotNull() & F.col("present").isNotNull()).alias("open"), (F.col("parent").isNotNull() & F.col("present").isNull()).alias("external_root"), F.least("message_id", F.coalesce("parent", "message_id")).alias("least"))
-    now, was = written(now, "depth"), None
+    parts, was = [written(now, "depth")], None  # rows that are closed stay where they were written
     while True:
-        is_ = tuple(now.where("open").agg(F.count("*"), F.sum(F.col("least").cast("decimal(38,0)"))).first())
+        is_ = tuple(parts[-1].where("open").agg(F.count("*"), F.sum(F.col("least").cast("decimal(38,0)"))).first())
         if not is_[0] or is_ == was:
             break
         was = is_
-        ahead = now.select("channel_id", F.col("message_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("open").alias("open2"), F.col("external_root").alias("external2"), F.col("least").alias("least2"))
-        moving = now.where("open").drop("external_root").join(ahead, ["channel_id", "up"])
+        every = reduce(DataFrame.unionByName, [*(p.where("not open") for p in parts[:-1]), parts[-1]])
+        ahead = every.select("channel_id", F.col("message_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("open").alias("open2"), F.col("external_root").alias("external2"), F.col("least").alias("least2"))
+        moving = parts[-1].where("open").drop("external_root").join(ahead, ["channel_id", "up"])
         moved = moving.select("channel_id", "message_id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("open2").alias("open"), F.col("external2").alias("external_root"), F.least("least", "least2").alias("least"))
-        now = written(now.where("not open").unionByName(moved), "depth")
+        parts.append(written(moved, "depth"))
+    now = reduce(DataFrame.unionByName, [*(p.where("not open") for p in parts[:-1]), parts[-1]])
     cycles = now.where("open").select("channel_id", F.col("message_id").alias("up"), F.col("least").alias("cycle"))
     out = now.join(cycles, ["channel_id", "up"], "left")
     return out.select("channel_id", "message_id", F.when(F.col("open"), F.col("cycle")).otherwise(F.col("up")).alias("root_id"), F.when(~F.col("open"), F.col("depth")).alias("depth"), "external_root")

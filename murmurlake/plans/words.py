@@ -57,13 +57,19 @@ pa AS MATERIALIZED (SELECT * FROM (SELECT *, {phrase_tokens_sql("coalesce(text,
 
 
 def _pmi(name: str, source: str, n: int, least: int, floor: str) -> str:
-    joins = " ".join(f"JOIN {name}u u{i} ON u{i}.w = string_split(phrase, ' ')[{i + 1}]" for i in range(n))
+    """Words as rows with their place; the n - 1 words after each make its phrase."""
+    leads = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, n))
+    phrase = " || ' ' || ".join(["w", *(f"w{k}" for k in range(1, n))])
+    each = ", ".join(["w", *(f"w{k}" for k in range(1, n))])
+    joins = " ".join(f"JOIN {name}u u{i} ON u{i}.w = c.{'w' + str(i) if i else 'w'}" for i in range(n))
     product = " - ".join(f"log2(u{i}.c)" for i in range(n))
     return f""",
-{name}u AS (SELECT w, count(*)::DOUBLE AS c FROM (SELECT unnest(ws) AS w FROM {source} WHERE len(ws) >= {n}) GROUP BY w),
-{name}c AS (SELECT phrase, count(*) AS n, count(DISTINCT message_id) AS messages, min(timestamp) AS first_at, max(timestamp) AS last_at
-  FROM (SELECT message_id, timestamp, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS phrase FROM {source} WHERE len(ws) >= {n}) GROUP BY phrase),
-{name} AS (SELECT phrase, n, messages, first_at, last_at, pmi, round(pmi * n, 6) AS network_score FROM (SELECT *, round(log2(n::DOUBLE) + {n - 1} * log2((SELECT sum(c) FROM {name}u)) - {product}, 6) AS pmi FROM (SELECT * FROM {name}c WHERE n >= {least}) {joins}) WHERE {floor})"""
+{name}w AS MATERIALIZED (SELECT message_id, timestamp, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM {source} WHERE len(ws) >= {n}),
+{name}u AS MATERIALIZED (SELECT w, count(*)::DOUBLE AS c FROM {name}w GROUP BY w),
+{name}g AS (SELECT message_id, timestamp, w, {leads} FROM {name}w WINDOW o AS (PARTITION BY message_id ORDER BY i)),
+{name}m AS (SELECT message_id, {each}, count(*) AS k, min(timestamp) AS t FROM {name}g WHERE w{n - 1} IS NOT NULL GROUP BY ALL),
+{name}c AS (SELECT {each}, {phrase} AS phrase, sum(k)::BIGINT AS n, count(*) AS messages, min(t) AS first_at, max(t) AS last_at FROM {name}m GROUP BY {each}),
+{name} AS (SELECT phrase, n, messages, first_at, last_at, pmi, round(pmi * n, 6) AS network_score FROM (SELECT c.*, round(log2(n::DOUBLE) + {n - 1} * log2((SELECT sum(c) FROM {name}u)) - {product}, 6) AS pmi FROM (SELECT * FROM {name}c WHERE n >= {least}) c {joins}) WHERE {floor})"""
 
 
 _PH = _phrase_base()
