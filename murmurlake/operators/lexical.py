@@ -126,14 +126,6 @@ def class_tfidf(messages: DataFrame, topic: str, features: int = 5000, k: int =
     return ranked.where(F.col("place") <= k).select("topic", "place", "term", "score")
 
 
-def word_cloud(messages: DataFrame, top: int = 120, stop: DataFrame | None = None) -> DataFrame:
-    """The ``top`` commonest words with their numbers, ties by word; ``stop`` (``word``) is left out too."""
-    rows = tokens(messages).select(F.explode("tokens").alias("word"))
-    if stop is not None:
-        rows = rows.join(stop.select("word").distinct(), "word", "left_anti")
-    return rows.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
-
-
 def name_words(names: DataFrame, column: str) -> DataFrame:
     """``word``: the words of channels' names as stop-words, three letters at least."""
     return names.select(F.explode(lexical_tokens(F.coalesce(column, F.lit("")))).alias("word")).distinct()

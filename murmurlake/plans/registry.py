@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmurlake.plans import cadence, compare, graphs, replies, words
+from murmurlake.plans import cadence, compare, graphs, replies, review, words
 
 FLAGSHIP = "cadence_hourly"
-PLANS = (cadence, replies, words, compare, graphs)
+PLANS = (cadence, replies, words, compare, graphs, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
