@@ -25,6 +25,8 @@ ROUNDS, BATCH, RATE, TREE_RATE = 1, 128, 0.01, 0.1
 #: Windows that are scored together.
 TOGETHER = 128
 MEMO, MEMO_CHARS = 300_000, 48
+#: Segments of a text that are looked up together; the memory is over its bound by no more.
+SLICE = 65_536
 
 _RUNS = "[ \\t\\r\\f][ \\t\\r\\f\\n]|\\n[ \\t\\r\\f]|[\\v\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 
@@ -38,23 +40,43 @@ class Ids(dict):
         if self.size > 1 << 16:
             raise ValueError("ids are stored in two bytes")
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.opens = np.zeros(self.size, bool)
+        self.opens[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encode(text), np.uint16).tobytes()
 
-    def __missing__(self, segment: str) -> bytes:
-        out = self.whole(" " + segment)
-        if len(segment) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[segment] = out
-        return out
+    def learn(self, segments: list[str]) -> None:
+        """The ids of different segments, encoded as one text: only a segment's first id begins with a space."""
+        ids = np.array(self.encode(" " + " ".join(segments)), np.uint16)
+        at = np.flatnonzero(self.opens[ids]) * 2
+        if len(at) != len(segments):
+            self.update((x, self.whole(" " + x)) for x in segments)
+            return
+        raw, at = ids.tobytes(), [*at.tolist(), None]
+        self.update(zip(segments, [raw[a:b] for a, b in zip(at, at[1:])]))
 
     def of(self, text: str, runs: bool) -> bytes:
         if runs:
             return self.whole(text)
         head, *rest = text.split(" ")
-        return self.whole(head) + b"".join(map(self.__getitem__, rest))
+        out = [self.whole(head)]
+        for a in range(0, len(rest), SLICE):
+            some = rest[a : a + SLICE]
+            if len(self) >= MEMO:
+                self.clear()
+            got = list(map(self.get, some))
+            gaps = [i for i, ids in enumerate(got) if ids is None]
+            if gaps:
+                new = list({some[i] for i in gaps})
+                self.learn(new)
+                for i in gaps:
+                    got[i] = self[some[i]]
+                for segment in new:
+                    if len(segment) > MEMO_CHARS:
+                        del self[segment]
+            out += got
+        return b"".join(out)
 
 
 _IDS: dict[str, Ids] = {}
@@ -95,15 +117,20 @@ class Vocabulary:
 
     def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``place, node, right``: the decisions that lead to each of the ids in its class, the first ones of all ids,
-        then the second ones and so on; place is an id's index in ids."""
-        first = self.first[ids]
-        size = self.first[ids + 1] - first
-        place, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for level in range(int(size.max(initial=0))):
-            place.append(np.flatnonzero(size > level))
-            at.append(first[place[-1]] + level)
-        at = np.concatenate(at)
-        return np.concatenate(place), self.node[at], self.right[at]
+        then the second ones and so on; place is an id's index in ids. The longest way comes first among the first
+        ones, and later ones keep that order, so the places of each are the beginning of those before."""
+        first = self.first.take(ids)
+        size = self.first[1:].take(ids) - first
+        most = size.max(initial=0)
+        order = np.argsort((most - size).astype(np.min_scalar_type(most)), kind="stable")
+        first = first.take(order)
+        longer = (len(ids) - np.cumsum(np.bincount(size))[:-1]).tolist()
+        place, at, a = np.empty(sum(longer), np.int64), np.empty(sum(longer), np.int64), 0
+        for level, n in enumerate(longer):
+            place[a : a + n] = order[:n]
+            np.add(first[:n], level, out=at[a : a + n])
+            a += n
+        return place, self.node.take(at), self.right.take(at)
 
 
 def tree(order: np.ndarray, mass: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,13 +173,39 @@ def initial(vocabulary: Vocabulary, own: int, classes: int, width: int) -> dict[
 _MASK = np.tril(np.ones((256, 256), np.float32))
 
 
+def rows_summed(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which stays."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones((x.shape[-1], 1), x.dtype)).reshape(*x.shape[:-1], 1)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x @ y`` with a matrix y, as one product over all places."""
+    return (x.reshape(-1, x.shape[-1]) @ y).reshape(*x.shape[:-1], -1)
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Each window's transpose, laid out anew, which products run through faster."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y`` over all places, summed window by window, so that what is multiplied stays in the nearest cache."""
+    return np.matmul(x.transpose(0, 2, 1), y).sum(0)
+
+
 def _norm(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    scale = 1 / np.sqrt((x * x).mean(-1, keepdims=True) + np.float32(1e-5))
+    scale = rows_summed(x * x)
+    scale /= x.dtype.type(x.shape[-1])
+    scale += x.dtype.type(1e-5)
+    np.divide(1, np.sqrt(scale, out=scale), out=scale)
     return x * scale, scale
 
 
 def _norm_back(y: np.ndarray, scale: np.ndarray, dy: np.ndarray) -> np.ndarray:
-    return (dy - y * (dy * y).mean(-1, keepdims=True)) * scale
+    out = y * (rows_summed(dy * y) / y.dtype.type(-y.shape[-1]))
+    out += dy
+    out *= scale
+    return out
 
 
 def attend(weight_of: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -162,131 +215,163 @@ def attend(weight_of: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return weight
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
-    """Of windows of input buckets: the class scores at every place, each from that place and those before it, all
-    windows and places at once under one causal mask."""
-    n, t = x.shape
-    width = w["e"].shape[1]
-    a, a_scale = _norm(w["e"].take(x, 0) + w["p"][:t])
-    # one product makes queries (with the scale of the scores), keys and values
-    qkv = (a.reshape(-1, width) @ np.concatenate([w["q"] * a.dtype.type(1 / np.sqrt(width)), w["k"], w["v"]], 1)).reshape(n, t, -1)
-    q, k, v = (qkv[..., i * width : (i + 1) * width] for i in range(3))
-    weight = attend(np.matmul(q, k.transpose(0, 2, 1)), _MASK[:t, :t])
-    total = weight.sum(-1, keepdims=True)
-    mixed = np.matmul(weight, v) / total
-    h = a + (mixed.reshape(-1, width) @ w["o"]).reshape(a.shape)
-    b, b_scale = _norm(h)
-    return {"a": a, "a_scale": a_scale, "q": q, "k": k, "v": v, "weight": weight, "total": total, "mixed": mixed, "b": b, "b_scale": b_scale, "z": (b.reshape(-1, width) @ w["u"] + w["c"]).reshape(n, t, -1)}
-
-
-def hidden(w: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> np.ndarray:
-    """What ``forward`` scores the classes by, at the places from ``skip`` on: a product of two projections is one
-    projection, made once."""
+def hidden(w: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> dict[str, np.ndarray]:
+    """Of windows of input buckets: what the classes are scored by (``b``) at the places from ``skip`` on, each from
+    that place and those before it, all windows and places at once under one causal mask. The product of two
+    projections is one projection, made once: queries and keys (``near``), values and output (``out``)."""
     t, width = x.shape[1], w["e"].shape[1]
-    a, _ = _norm(w["e"].take(x, 0) + w["p"][:t])
+    a = w["e"].take(x, 0)
+    a += w["p"][:t]
+    a, a_scale = _norm(a)
     late = a[:, skip:]
-    key = w["q"] @ w["k"].T * a.dtype.type(1 / np.sqrt(width))
-    weight = attend(np.matmul((late.reshape(-1, width) @ key).reshape(late.shape), a.transpose(0, 2, 1)), _MASK[skip:t, :t])
-    mixed = np.matmul(weight, (a.reshape(-1, width) @ (w["v"] @ w["o"])).reshape(a.shape))
-    mixed /= weight.sum(-1, keepdims=True)
-    mixed += late
-    return _norm(mixed)[0]
+    near, out = w["q"] @ w["k"].T * a.dtype.type(1 / np.sqrt(width)), w["v"] @ w["o"]
+    asked, a_turned = times(late, near), turned(a)
+    weight = attend(np.matmul(asked, a_turned), _MASK[skip:t, :t])
+    share = 1 / rows_summed(weight)
+    mixed = np.matmul(weight, a)
+    mixed *= share
+    h = times(mixed, out)
+    h += late
+    b, b_scale = _norm(h)
+    return {"a": a, "a_turned": a_turned, "a_scale": a_scale, "near": near, "out": out, "asked": asked, "weight": weight, "share": share, "mixed": mixed, "b": b, "b_scale": b_scale}
 
 
 def class_scores(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The class scores of ``forward`` alone."""
-    return hidden(w, x) @ w["u"] + w["c"]
-
-
-def path_logits(w: dict[str, np.ndarray], b: np.ndarray, place: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Logits of going right at each node, given the context ``b[place]``."""
-    return np.clip(np.einsum("ij,ij->i", b.take(place, 0), w["n"].take(node, 0)) + w["nb"].take(node), -60, 60)
+    """The class scores at every place."""
+    return hidden(w, x)["b"] @ w["u"] + w["c"]
 
 
-def log_chance(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of class scores and the logarithm of their sum."""
-    e = np.clip(z, -60, 60)
-    np.exp(e, out=e)
-    return e, np.log(e @ np.ones(e.shape[-1], e.dtype))
+def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+    """The model projection by projection, as it is defined; ``hidden`` gives the same with fewer products."""
+    width = w["e"].shape[1]
+    a, _ = _norm(w["e"].take(x, 0) + w["p"][: x.shape[1]])
+    q, k, v = (a @ w[key] for key in "qkv")
+    weight = attend(np.matmul(q, k.transpose(0, 2, 1)) / a.dtype.type(np.sqrt(width)), _MASK[: x.shape[1], : x.shape[1]])
+    mixed = np.matmul(weight, v) / weight.sum(-1, keepdims=True)
+    b, _ = _norm(a + mixed @ w["o"])
+    return {"b": b, "z": b @ w["u"] + w["c"]}
 
 
-def scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of ``rows`` by their place in an array of ``size`` rows, a column at a time."""
-    out = np.zeros((rows.shape[1], size), rows.dtype)
-    for total, column in zip(out, np.ascontiguousarray(rows.T)):
-        np.add.at(total, at, column)
-    return out.T
+def path_logits(w: dict[str, np.ndarray], b: np.ndarray, place: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Logits of going right at each node, given the context ``b[place]``."""
+    turn = w["n"].take(node, 0)
+    turn *= b.take(place, 0)
+    return np.clip(rows_summed(turn)[:, 0] + w["nb"].take(node), -60, 60)
+
+
+def classes_of(w: dict[str, np.ndarray], b: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts along the last axis, all flat: ``e, factor, total, own``. The exponentials of the class scores are
+    ``e * factor``; then their sums, and the log chance of class ``kind``."""
+    z = np.matmul(b, w["u"]).reshape(-1, len(w["c"]))
+    own = z.ravel().take(np.arange(0, z.size, z.shape[1]) + kind) + w["c"].take(kind)
+    # a context's length is at most the root of its width, so most often no score needs to be cut and the constants can wait
+    if np.sqrt(b.shape[-1] * (w["u"] ** 2).sum(0).max()) + np.abs(w["c"]).max() < 60:
+        factor = np.exp(w["c"])
+    else:
+        z += w["c"]
+        np.clip(z, -60, 60, out=z)
+        factor = np.ones_like(w["c"])
+    np.exp(z, out=z)
+    total = z @ factor
+    own -= np.log(total)
+    return z, factor, total, own
+
+
+def scatter(at: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different places in ``at``, ascending, and sums of each of ``rows`` by them."""
+    order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")  # short numbers sort in linear time
+    by = at.take(order)
+    new = np.ones(len(by), bool)
+    np.not_equal(by[1:], by[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return by.take(first), *(np.add.reduceat(x.take(order, 0), first, 0) if len(by) else x for x in rows)
 
 
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray, path: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss in nats over the places in ``use`` whose next class is ``y``, and its gradients. With the ``path`` of
     each next id in its class (for flat places in ``use``) the loss is that of the ids, and ``n``, ``nb`` have a
     gradient for each of the nodes ``at``."""
-    f = forward(w, x)
-    kind = f["b"].dtype
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    b, z = flat(f["b"]), flat(f["z"])
+    f = hidden(w, x)
+    a, b, mixed = f["a"], f["b"], f["mixed"]
+    kind, width = b.dtype, b.shape[2]
     y, use = y.ravel(), use.ravel().astype(kind)
-    own = np.arange(len(y)) * z.shape[1] + y
     count = max(1, int(use.sum()))
-    e, total = log_chance(z)
-    loss = float((total - z.ravel().take(own)) @ use / count)
-    e *= (use / kind.type(count) / np.exp(total))[:, None]
-    e.ravel()[own] -= use / kind.type(count)
-    g = {"u": b.T @ e, "c": np.ones(len(e), kind) @ e}
-    db = e @ w["u"].T
+    e, factor, total, own = classes_of(w, b, y)
+    loss = -float(own @ use / count)
+    # a class score's gradient is the class's chance, less one for the own one; what all share is put on the smaller factors
+    e.ravel()[np.arange(0, e.size, e.shape[1]) + y] -= total / factor.take(y)
+    part = use / kind.type(count) / total
+    parts, each = part.reshape(*x.shape, 1), e.reshape(*x.shape, -1)
+    g = {"u": outer(b * parts, each) * factor, "c": part @ e * factor}
+    db = np.matmul(each, (w["u"] * factor).T)
+    db *= parts
     if path is not None:
         place, node, right = path
-        near, turn = b.take(place, 0), w["n"].take(node, 0)
-        logit = np.clip(np.einsum("ij,ij->i", near, turn) + w["nb"].take(node), -60, 60)
+        near, turn = b.reshape(-1, width).take(place, 0), w["n"].take(node, 0)
+        logit = np.clip(rows_summed(near * turn)[:, 0] + w["nb"].take(node), -60, 60)
         up = 1 / (1 + np.exp(-logit))
-        loss -= float(np.log(np.where(right, up, 1 - up) + kind.type(1e-30)).sum() / count)
-        d = (up - right) / kind.type(count)
-        flag = np.zeros(len(w["nb"]), bool)
-        flag[node] = True
-        g["at"] = np.flatnonzero(flag)
-        number = np.cumsum(flag) - 1
-        here = number.take(node)
-        near *= d[:, None]
-        g["n"], g["nb"] = scatter(here, near, len(g["at"])), scatter(here, d[:, None], len(g["at"]))[:, 0]
-        turn *= d[:, None]
-        again = np.flatnonzero(np.diff(place) <= 0) + 1  # between these each place occurs once
-        for level, part in zip(np.split(place, again), np.split(turn, again)):
-            db[level] += part
-    dh = _norm_back(f["b"], f["b_scale"], db.reshape(f["b"].shape))
-    g["o"] = flat(f["mixed"]).T @ flat(dh)
-    d_mixed = (flat(dh) @ w["o"].T).reshape(dh.shape)
-    chance = f["weight"]
-    chance /= f["total"]
-    d_raw = np.matmul(d_mixed, f["v"].transpose(0, 2, 1))
+        d = up - right
+        loss -= float(np.log(1 - np.abs(d) + kind.type(1e-30)).sum() / count)
+        d /= kind.type(count)
+        wide = np.repeat(d, width).reshape(-1, width)
+        near *= wide
+        g["at"], g["n"], g["nb"] = scatter(node, near, d)
+        turn *= wide
+        # each level of the ways begins with the same place and has the first places of the one before
+        level = [*np.flatnonzero(place == place[:1]).tolist(), len(place)] if len(place) else [0, 0]
+        most = level[1]
+        rank = np.full(len(y), most)
+        rank[place[:most]] = np.arange(most)
+        for start, end in zip(level[1:-1], level[2:]):
+            turn[: end - start] += turn[start:end]
+        db += np.append(turn[:most], np.zeros((1, width), kind), 0).take(rank, 0).reshape(db.shape)
+    dh = _norm_back(b, f["b_scale"], db)
+    g_out = outer(mixed, dh)
+    g["v"], g["o"] = g_out @ w["o"].T, w["v"].T @ g_out
+    d_mixed = times(dh, f["out"].T)
+    d_mixed *= f["share"]
+    d_raw = np.matmul(d_mixed, f["a_turned"])
     # the mean of an attention's gradients is the product of what it mixed
-    d_raw -= np.einsum("ijk,ijk->ij", d_mixed, f["mixed"])[..., None]
-    d_raw *= chance
-    d_qkv = np.concatenate([np.matmul(d_raw, f["k"]), np.matmul(d_raw.transpose(0, 2, 1), f["q"]), np.matmul(chance.transpose(0, 2, 1), d_mixed)], -1)
-    width = w["e"].shape[1]
-    g_qkv = flat(f["a"]).T @ flat(d_qkv)
-    scale = kind.type(1 / np.sqrt(width))
-    g["q"], g["k"], g["v"] = g_qkv[:, :width] * scale, g_qkv[:, width : 2 * width], g_qkv[:, 2 * width :]
-    da = dh + (flat(d_qkv) @ np.concatenate([w["q"] * scale, w["k"], w["v"]], 1).T).reshape(dh.shape)
-    ds = _norm_back(f["a"], f["a_scale"], da)
+    d_raw -= rows_summed(d_mixed * mixed)
+    d_raw *= f["weight"]
+    d_asked = np.matmul(d_raw, a)
+    g_near = outer(a, d_asked) * kind.type(1 / np.sqrt(width))
+    g["q"], g["k"] = g_near @ w["k"], g_near.T @ w["q"]
+    da = np.matmul(d_raw.transpose(0, 2, 1), f["asked"])
+    da += np.matmul(f["weight"].transpose(0, 2, 1), d_mixed)
+    da += times(d_asked, f["near"].T)
+    da += dh
+    ds = _norm_back(a, f["a_scale"], da)
     g["p"] = np.zeros_like(w["p"])
     g["p"][: x.shape[1]] = ds.sum(0)
-    g["e"] = scatter(x.ravel(), flat(ds), len(w["e"]))
+    g["e"] = np.zeros_like(w["e"])
+    at, sums = scatter(x.ravel(), ds.reshape(-1, width))
+    g["e"][at] = sums
     return loss, g
 
 
 class Adam:
-    def __init__(self, w: dict[str, np.ndarray], rate: float):
+    """Steps for one flat array of parameters."""
+
+    def __init__(self, size: int, rate: float):
         self.rate, self.t = rate, 0
-        self.m = {k: np.zeros_like(x) for k, x in w.items()}
-        self.s = {k: np.zeros_like(x) for k, x in w.items()}
+        self.m, self.s = np.zeros(size, np.float32), np.zeros(size, np.float32)
 
-    def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+    def step(self, w: np.ndarray, g: np.ndarray) -> None:
+        """Moves ``w`` and uses ``g`` up."""
         self.t += 1
-        for k, x in g.items():
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.s[k] += np.float32(0.02) * (x * x - self.s[k])
-            w[k] -= np.float32(self.rate) * (self.m[k] / np.float32(1 - 0.9**self.t)) / (np.sqrt(self.s[k] / np.float32(1 - 0.98**self.t)) + np.float32(1e-6))
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * g
+        np.multiply(g, g, out=g)
+        self.s *= np.float32(0.98)
+        g *= np.float32(0.02)
+        self.s += g
+        np.sqrt(self.s, out=g)
+        g *= np.float32(1 / np.sqrt(1 - 0.98**self.t))
+        g += np.float32(1e-6)
+        np.divide(self.m, g, out=g)
+        g *= np.float32(self.rate / (1 - 0.9**self.t))
+        w -= g
 
 
 def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,10 +388,10 @@ def cut(ids: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray
     first, end = offsets[row] + start, offsets[row + 1]
     at = first[:, None] + np.arange(WINDOW)
     inside = at < end[:, None]
-    at = np.minimum(at, len(ids) - 1)
-    target = ids[at]
-    before = vocabulary.bucket[ids[np.maximum(at - 1, 0)]]
-    before[:, 0] = np.where(start == 0, OWN + CLASSES, before[:, 0])
+    target = ids.take(at, mode="clip")
+    before = np.empty_like(target)
+    before[:, 1:] = vocabulary.bucket.take(target[:, :-1])
+    before[:, 0] = np.where(start == 0, OWN + CLASSES, vocabulary.bucket.take(ids.take(first - 1, mode="clip")))
     return before, target, inside
 
 
@@ -325,8 +410,10 @@ def within_class(w: dict[str, np.ndarray], vocabulary: Vocabulary, b: np.ndarray
         return vocabulary.within[ids]
     place, node, right = vocabulary.paths(ids)
     logit = path_logits(w, b, place, node)
-    np.negative(logit, out=logit, where=right)
-    return -np.bincount(place, np.log(1 + np.exp(logit)), len(ids))
+    logit *= 1 - 2 * right.astype(logit.dtype)
+    np.exp(logit, out=logit)
+    logit += 1
+    return -np.bincount(place, np.log(logit, out=logit), len(ids))
 
 
 def score_ids(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -339,11 +426,9 @@ def score_ids(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray,
             r = row[of[a : a + TOGETHER]]
             x, target, inside = cut(ids, offsets, r, start[of[a : a + TOGETHER]], vocabulary)
             use = inside[:, unscored:]
-            b = hidden(w, x, unscored)[use]
-            target = target[:, unscored:][use]
-            z = b @ w["u"] + w["c"]
-            own = z.ravel().take(np.arange(len(z)) * z.shape[1] + vocabulary.kind[target])
-            chance = own - log_chance(z)[1] + within_class(w, vocabulary, b, target)
+            at = np.flatnonzero(use)
+            b, target = hidden(w, x, unscored)["b"].reshape(-1, w["e"].shape[1]).take(at, 0), target[:, unscored:].ravel().take(at)
+            chance = classes_of(w, b, vocabulary.kind.take(target))[3] + within_class(w, vocabulary, b, target)
             out += np.bincount(np.repeat(r, use.sum(1)), chance, len(out))
     return out
 
@@ -363,20 +448,29 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 def train_part(batches: Iterator[np.ndarray], w: dict[str, np.ndarray], vocabulary: Vocabulary) -> tuple[int, dict[str, np.ndarray]]:
     """Windows trained on and the parameters after a pass over batches of ``ids, offsets``; every id is in one window."""
     w = {k: x.copy() for k, x in w.items()}
-    adam, seen = Adam({k: x for k, x in w.items() if k not in ("n", "nb")}, RATE), 0
-    squares = np.full((len(w["n"]), w["n"].shape[1] + 1), 1e-8, np.float32)
+    dense = sorted(k for k in w if k not in ("n", "nb"))
+    values = np.concatenate([w[k].ravel() for k in dense])
+    w |= {k: v.reshape(w[k].shape) for k, v in zip(dense, np.split(values, np.cumsum([w[k].size for k in dense])[:-1]))}
+    adam, seen = Adam(len(values), RATE), 0
+    squares = {k: np.full_like(w[k], 1e-8) for k in ("n", "nb")}
     held: list[tuple[np.ndarray, ...]] = []
 
     def step(x, target, use):
-        place, node, right = vocabulary.paths(target[use])
-        _, g = gradients(w, x, vocabulary.kind[target], use, (np.flatnonzero(use)[place], node, right))
-        at, n, nb = g.pop("at"), g.pop("n"), g.pop("nb")
-        adam.step(w, g)
-        both = np.column_stack([n, nb])  # only the nodes on the way to these ids move
-        squares[at] += both * both
-        both *= np.float32(TREE_RATE) / np.sqrt(squares[at])
-        w["n"][at] -= both[:, :-1]
-        w["nb"][at] -= both[:, -1]
+        target, use = target.ravel(), use.ravel()
+        used = np.flatnonzero(use)
+        place, node, right = vocabulary.paths(target.take(used))
+        _, g = gradients(w, x, vocabulary.kind.take(target), use, (used.take(place), node, right))
+        adam.step(values, np.concatenate([g[k].ravel() for k in dense]))
+        at = g["at"]
+        for k in ("n", "nb"):  # only the nodes on the way to these ids move
+            sums = squares[k].take(at, 0)
+            sums += g[k] * g[k]
+            squares[k][at] = sums
+            np.sqrt(sums, out=sums)
+            np.divide(g[k], sums, out=sums)
+            sums *= np.float32(-TREE_RATE)
+            sums += w[k].take(at, 0)
+            w[k][at] = sums
 
     for ids, offsets in batches:
         row, start, _ = windows(np.diff(offsets), WINDOW)
@@ -386,7 +480,7 @@ def train_part(batches: Iterator[np.ndarray], w: dict[str, np.ndarray], vocabula
             held.append(cut(ids, offsets, row[a : a + need], start[a : a + need], vocabulary))
             a += need
             if sum(len(h[0]) for h in held) == BATCH:
-                step(*(np.concatenate(z) for z in zip(*held)))
+                step(*(np.concatenate(z) if len(z) > 1 else z[0] for z in zip(*held)))
                 seen, held = seen + BATCH, []
     if held:
         x, target, use = (np.concatenate(z) for z in zip(*held))
