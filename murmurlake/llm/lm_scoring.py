@@ -261,16 +261,17 @@ def path_logits(w: dict[str, np.ndarray], b: np.ndarray, place: np.ndarray, node
 
 def classes_of(w: dict[str, np.ndarray], b: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of contexts along the last axis, all flat: ``e, factor, total, own``. The exponentials of the class scores are
-    ``e * factor``; then their sums, and the log chance of class ``kind``."""
+    ``e * factor``, of large ones less the context's highest; then their sums, and the log chance of class ``kind``."""
     z = np.matmul(b, w["u"]).reshape(-1, len(w["c"]))
-    own = z.ravel().take(np.arange(0, z.size, z.shape[1]) + kind) + w["c"].take(kind)
-    # a context's length is at most the root of its width, so most often no score needs to be cut and the constants can wait
-    if np.sqrt(b.shape[-1] * (w["u"] ** 2).sum(0).max()) + np.abs(w["c"]).max() < 60:
-        factor = np.exp(w["c"])
-    else:
+    # a context's length is at most the root of its width, so most often no score needs a shift and the constants can wait
+    small = np.sqrt(b.shape[-1] * (w["u"] ** 2).sum(0).max()) + np.abs(w["c"]).max() < 60
+    if not small:
         z += w["c"]
-        np.clip(z, -60, 60, out=z)
-        factor = np.ones_like(w["c"])
+        z -= z.max(1, keepdims=True)
+    factor = np.exp(w["c"]) if small else np.ones_like(w["c"])
+    own = z.ravel().take(np.arange(0, z.size, z.shape[1]) + kind)
+    if small:
+        own += w["c"].take(kind)
     np.exp(z, out=z)
     total = z @ factor
     own -= np.log(total)
