@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurlake.functions.shared import importable
+from murmurlake.functions import counting
+from murmurlake.functions import louvain as modularity
+from murmurlake.functions.shared import SENT_BYTES, importable, written
 
 
 def capitalised(messages: DataFrame) -> DataFrame:
@@ -26,18 +30,59 @@ def summary(mentions: DataFrame, top_surfaces: int = 5) -> DataFrame:
     return df.join(named, "entity")
 
 
+def numbered(names: DataFrame) -> DataFrame:
+    """Adds ``id`` to different names (``entity``), from 0 in their order, and writes them; names are far fewer than what
+    they occur in."""
+    place = F.row_number().over(Window.orderBy("entity")) - 1
+    return written(names.withColumn("id", place), "names")
+
+
+def _sendable(names: DataFrame) -> DataFrame:
+    """``names`` marked to be sent to all executors where they are small."""
+    size = names.agg(F.sum(F.octet_length("entity") + 24)).first()[0] or 0
+    return F.broadcast(names) if size <= SENT_BYTES else names
+
+
+def _named(table: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """Puts names in place of the numbers in ``columns``; both of a pair of numbers were given by name's order."""
+    sent = _sendable(names.select("entity", "id"))
+    for c in columns:
+        table = table.withColumnRenamed(c, "__id").join(sent.withColumnsRenamed({"entity": c, "id": "__id"}), "__id").drop("__id")
+    return table
+
+
+def _pairs(mentions: DataFrame, least_messages: int, times: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a < b`` of numbers, and the names of these.
+
+    Each message sends, for each of its entities, the numbers of those that occur in more messages than it, as one
+    array to where that entity's pairs are counted: four bytes a pair move, no row, and a common entity, which would
+    have the most pairs, has the fewest others to send. They are counted there by sorting, a bounded number at once."""
+    spark = mentions.sparkSession
+    distinct = written(mentions.groupBy("message_id", "entity").agg(F.min("timestamp").alias("timestamp")), "mentions")
+    known = numbered(distinct.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least_messages))
+    listed = distinct.join(_sendable(known), "entity").groupBy("message_id", "timestamp").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("es"))
+    listed = listed.where(F.size("es") > 1).select("timestamp", F.col("es.id").alias("es"))
+    own = ["timestamp"] if times else []
+    each = listed.select(*own, "es", F.posexplode("es").alias("i", "x")).where(F.col("i") < F.size("es") - 1)
+    tails = each.select(*own, "x", F.slice("es", F.col("i") + 2, F.size("es")).alias("ys"))
+    met = tails.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "x").sortWithinPartitions("x")
+    importable(spark)
+    counted = met.mapInArrow(lambda batches: counting.met(batches, times), "a int, b int, weight bigint" + ", first_at timestamp_ntz, last_at timestamp_ntz" * times)
+    return counted, known
+
+
 def pairs(mentions: DataFrame, least_messages: int = 3) -> DataFrame:
     """Messages, first and last time of each pair of entities that share messages, of entities in ``least_messages``
     messages at least: rarer ones are no nodes of the network."""
-    distinct = mentions.groupBy("message_id", "entity").agg(F.min("timestamp").alias("timestamp"))
-    known = distinct.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least_messages).select("entity")
-    listed = distinct.join(known, "entity").groupBy("message_id", "timestamp").agg(F.array_sort(F.collect_list("entity")).alias("es"))
-    each = F.flatten(F.transform("es", lambda x, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return listed.select("timestamp", F.explode(each).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    counted, names = _pairs(mentions, least_messages, True)
+    return _named(counted, names, "a", "b").select("a", "b", "weight", "first_at", "last_at")
 
 
 def edges(mentions: DataFrame, least_messages: int = 3, least_weight: int = 2) -> DataFrame:
-    return pairs(mentions, least_messages).where(F.col("weight") >= least_weight).select("a", "b", "weight")
+    """Pairs of ``least_weight`` messages at least; written, as networks read them more than once."""
+    counted, names = _pairs(mentions, least_messages, False)
+    heavy = written(counted.where(F.col("weight") >= least_weight), "edges")
+    return _named(heavy, names, "a", "b").select("a", "b", "weight")
 
 
 def both_ways(edges_: DataFrame) -> DataFrame:
@@ -64,58 +109,43 @@ def louvain(a: list[str], b: list[str], weight: list[float]) -> dict[str, int]:
     same graph gives the same communities. Numbered by size, then by least name."""
     names = sorted({*a, *b})
     place = {n: i for i, n in enumerate(names)}
-    graph: dict[int, dict[int, float]] = {i: defaultdict(float) for i in range(len(names))}
+    graph: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
     for x, y, w in zip(a, b, weight):
         graph[place[x]][place[y]] += w
         graph[place[y]][place[x]] += w
-    total = sum(weight) * 2 or 1.0
-    own = list(range(len(names)))  # community of each name
-    while True:
-        degree = {i: sum(nb.values()) for i, nb in graph.items()}
-        at = {i: i for i in graph}
-        mass = dict(degree)
-        moved_ever = moved = True
-        moved_ever = False
-        while moved:
-            moved = False
-            for i in graph:
-                links: dict[int, float] = defaultdict(float)
-                for j, w in graph[i].items():
-                    if j != i:
-                        links[at[j]] += w
-                mass[at[i]] -= degree[i]
-                best, gain = at[i], links.get(at[i], 0.0) - mass[at[i]] * degree[i] / total
-                for c in sorted(links):
-                    g = links[c] - mass[c] * degree[i] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                mass[best] += degree[i]
-                if best != at[i]:
-                    at[i], moved, moved_ever = best, True, True
-        if not moved_ever:
-            break
-        own = [at[c] for c in own]
-        joined: dict[int, dict[int, float]] = {c: defaultdict(float) for c in sorted(set(at.values()))}
-        for i, nb in graph.items():
-            for j, w in nb.items():
-                joined[at[i]][at[j]] += w
-        graph = joined
-    members: dict[int, list[str]] = defaultdict(list)
-    for n, c in zip(names, own):
-        members[c].append(n)
-    order = sorted(members.values(), key=lambda m: (-len(m), m[0]))
-    return {n: k for k, m in enumerate(order) for n in m}
+    found = modularity.communities(((i, np.array([*near]), np.array([*near.values()])) for i, near in graph.items()), len(names))
+    return dict(zip(names, found.tolist()))
 
 
 def communities(edges_: DataFrame) -> DataFrame:
-    """``entity, community`` of the thresholded network, which is small: it is worked out as one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(pdf["a"].tolist(), pdf["b"].tolist(), pdf["weight"].astype(float).tolist())
-        return pd.DataFrame({"entity": list(found), "community": list(found.values())})
-
-    importable(edges_.sparkSession)
-    return edges_.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "entity string, community bigint")
+    """``entity, community`` of the thresholded network, by ``louvain``.
+
+    Nodes move one after the other, each seeing the moves before, so one task does that; it holds a few numbers a node
+    and has the links on its disk. Names, numbers and each node's list of links are made by all."""
+    spark = edges_.sparkSession
+    own = written(edges_, "edges")
+    names = numbered(own.select(F.explode(F.array("a", "b")).alias("entity")).distinct())
+    sent = _sendable(names)
+    for end in ("a", "b"):
+        own = own.join(sent.withColumnsRenamed({"entity": end, "id": f"id_{end}"}), end)
+    both = both_ways(own.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("weight").cast("double").alias("weight")))
+    lists = both.repartitionByRange("x").groupBy("x").agg(F.collect_list(F.struct("y", "weight")).alias("near"))
+    near = written(lists.select("x", F.col("near.y").alias("ys"), F.col("near.weight").alias("weights")), "links")
+    nodes = names.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                ys, weights = batch.column("ys"), batch.column("weights")
+                for k, x in enumerate(batch.column("x").to_pylist()):
+                    yield x, ys[k].values.to_numpy(), weights[k].values.to_numpy()
+
+        found = modularity.communities(rows(), nodes)
+        yield from counting.pieces([np.arange(nodes), found], pa.schema([("id", pa.int32()), ("community", pa.int64())]))
+
+    importable(spark)
+    found = near.coalesce(1).mapInArrow(run, "id int, community bigint")
+    return _named(found.withColumnRenamed("id", "entity"), names, "entity").select("entity", "community")
 
 
 def community_rollup(communities_: DataFrame, nodes_: DataFrame, exemplars: int = 5) -> DataFrame:
