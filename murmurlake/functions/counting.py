@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Occurrences that are sorted at once, and rows that leave at once.
 CHUNK, ROWS = 1 << 22, 1 << 16
@@ -91,3 +93,168 @@ def met(batches: Iterator[pa.RecordBatch], times: bool) -> Iterator[pa.RecordBat
         yield from told(counted())
     elif kept is not None:
         yield from told(kept)
+
+
+#: Bits of a filter of n-grams (32 MB), and the parts that it is made in.
+BITS, PARTS = 28, 10
+
+
+class Chunk:
+    """Messages' words as numbers."""
+
+    def __init__(self, tokens: list[pa.Array], others: list[list[pa.Array]]):
+        each = [lists(t) for t in tokens]
+        self.lengths = np.concatenate([n for n, _ in each])
+        found = pa.chunked_array([v for _, v in each]).combine_chunks().dictionary_encode()
+        self.words, self.ids = found.dictionary, found.indices.to_numpy()
+        self.message = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.others = [pa.chunked_array(list(c)).combine_chunks() for c in zip(*others)]
+
+    def starts(self, n: int) -> np.ndarray:
+        """Where the n-grams begin that don't cross messages."""
+        most = len(self.ids) - n + 1
+        return np.flatnonzero(self.message[:most] == self.message[n - 1 :]).astype(np.int32) if most > 0 else np.zeros(0, np.int32)
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The same number for the same n-gram in any chunk; unlike ones may share one."""
+        from pandas.util import hash_array
+
+        own = hash_array(self.words.to_numpy(zero_copy_only=False), categorize=False)
+        out = own[self.ids[at]]
+        for k in range(1, n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + own[self.ids[at + k]]
+        for shift, by in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9), (32, 1)):
+            out = (out ^ (out >> np.uint64(shift))) * np.uint64(by)
+        return out
+
+    def codes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """A number for each different n-gram of the chunk, in no wider range than fits."""
+        out, many = self.ids[at].astype(np.int64), len(self.words)
+        span = many
+        for k in range(1, n):
+            if span * many >= 1 << 62:
+                out = np.unique(out, return_inverse=True)[1]
+                span = int(out.max(initial=0)) + 1
+            out, span = out * many + self.ids[at + k], span * many
+        return out
+
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        each = [self.words.take(pa.array(self.ids[at + k])) for k in range(n)]
+        return each[0] if n == 1 else pc.binary_join_element_wise(*each, " ")
+
+
+def chunks(batches: Iterator[pa.RecordBatch], others: list[str]) -> Iterator[Chunk]:
+    tokens, rest, size = [], [], 0
+    for batch in batches:
+        lengths = batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends, row = np.cumsum(lengths), 0
+        while row < len(ends):
+            begun = int(ends[row - 1]) if row else 0
+            end = max(row + 1, int(np.searchsorted(ends, begun + CHUNK - size, "right")))
+            tokens.append(batch.column("tokens")[row:end])
+            rest.append([batch.column(c)[row:end] for c in others])
+            size, row = size + int(ends[end - 1]) - begun, end
+            if size >= CHUNK or row < len(ends):
+                yield Chunk(tokens, rest)
+                tokens, rest, size = [], [], 0
+    if tokens:
+        yield Chunk(tokens, rest)
+
+
+def hashed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """``part, h, n``: how often the n-grams of each hash occur in a chunk."""
+    schema = pa.schema([("part", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
+    for chunk in chunks(batches, []):
+        h = np.sort(chunk.hashes(chunk.starts(n), n))
+        at = runs(h)
+        yield from pieces([(h[at] >> np.uint64(64 - PARTS)).astype(np.int32), h[at].view(np.int64), np.diff(at, append=len(h))], schema)
+
+
+def bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``part, bits`` of rows of ``hashed``, all of a part's being among them: the parts of a filter that has a bit for
+    the first ``BITS`` bits of each hash that occurs ``least`` times."""
+    h, n, size, known = [], [], 0, CHUNK
+
+    def merge() -> None:
+        nonlocal h, n, size, known
+        keys, many = _merged(np.concatenate(h), np.concatenate(n), how=(np.add,))
+        h, n, size, known = [keys], [many], len(keys), max(CHUNK, 2 * len(keys))
+
+    for batch in batches:
+        h.append(batch.column("h").to_numpy().view(np.uint64))
+        n.append(batch.column("n").to_numpy().astype(np.int32))
+        size += len(h[-1])
+        if size >= known:
+            merge()
+    if not size:
+        return
+    merge()
+    place = (h[0][n[0] >= least] >> np.uint64(64 - BITS)).astype(np.int64)
+    width = 1 << (BITS - PARTS)
+    for part in np.unique(place // width):
+        own = np.zeros(width, bool)
+        own[place[place // width == part] % width] = True
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(np.packbits(own, bitorder="little").tobytes(), 1)], pa.binary())], ["part", "bits"])
+
+
+def let_through(parts: list[tuple[int, bytes]]) -> np.ndarray:
+    """The whole filter."""
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    width = 1 << (BITS - PARTS - 3)
+    for part, own in parts:
+        out[part * width : (part + 1) * width] = np.frombuffer(zlib.decompress(own), np.uint8)
+    return out
+
+
+def counted(batches: Iterator[pa.RecordBatch], n: int, through: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """``phrase, n, messages, first_at, last_at`` of a chunk's n-grams, of those that a filter lets through; ``messages``
+    is null where it is ``n`` and ``last_at`` where it is ``first_at``, as for most."""
+    stamp = pa.timestamp("us")
+    schema = pa.schema([("phrase", pa.string()), ("n", pa.int64()), ("messages", pa.int64()), ("first_at", stamp), ("last_at", stamp)])
+    for chunk in chunks(batches, ["timestamp"]):
+        at = chunk.starts(n)
+        if through is not None:
+            place = (chunk.hashes(at, n) >> np.uint64(64 - BITS)).astype(np.int64)
+            at = at[(through[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+        codes = chunk.codes(at, n)
+        order = np.argsort(codes, kind="stable").astype(np.int32)
+        codes, at = codes[order], at[order]
+        message = chunk.message[at]
+        del order
+        first = runs(codes)
+        if not len(first):
+            continue
+        fresh = np.ones(len(codes), np.int64)
+        fresh[1:] = (message[1:] != message[:-1]) | (codes[1:] != codes[:-1])
+        # times that aren't known count for nothing, as in any least and greatest
+        when = chunk.others[0].cast(pa.int64())
+        known, times = when.is_valid().to_numpy(zero_copy_only=False)[message], when.fill_null(0).to_numpy()[message]
+        least, most = np.minimum.reduceat(np.where(known, times, np.iinfo(np.int64).max), first), np.maximum.reduceat(np.where(known, times, np.iinfo(np.int64).min), first)
+        none = ~np.logical_or.reduceat(known, first)
+        many, messages, at = np.diff(first, append=len(codes)), np.add.reduceat(fresh, first), at[first]
+        del codes, message, fresh, times, known, first
+        for k in range(0, len(at), ROWS):
+            some = slice(k, k + ROWS)
+            own = [chunk.phrases(at[some], n), many[some], pa.array(messages[some], mask=(messages == many)[some]), pa.array(least[some], stamp, mask=none[some]), pa.array(most[some], stamp, mask=(none | (most == least))[some])]
+            yield from pieces(own, schema)
+
+
+def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``w, c``: how often each word occurs in a chunk."""
+    schema = pa.schema([("w", pa.string()), ("c", pa.int64())])
+    for chunk in chunks(batches, []):
+        yield from pieces([chunk.words, np.bincount(chunk.ids, minlength=len(chunk.words))], schema)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """``topic, term, n``: words and n-grams up to ``most`` words by a message's topic in a chunk."""
+    for chunk in chunks(batches, ["topic"]):
+        topics = chunk.others[0].dictionary_encode(null_encoding="encode")
+        topic = topics.indices.to_numpy().astype(np.int64)
+        schema = pa.schema([("topic", topics.dictionary.type), ("term", pa.string()), ("n", pa.int64())])
+        for n in range(1, most + 1):
+            at = chunk.starts(n)
+            codes = np.unique(chunk.codes(at, n), return_inverse=True)[1] * len(topics.dictionary) + topic[chunk.message[at]]
+            _, first, many = np.unique(codes, return_index=True, return_counts=True)
+            if len(first):
+                yield from pieces([topics.dictionary.take(pa.array(topic[chunk.message[at[first]]])), chunk.phrases(at[first], n), many], schema)

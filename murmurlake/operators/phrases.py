@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurlake.functions.shared import written
-from murmurlake.functions.text import ngrams, phrase_tokens, shorten
+from murmurlake.functions import counting, words
+from murmurlake.functions.shared import importable, written
+from murmurlake.functions.text import STOP_WORDS, ngrams, shorten
 
 
 def tokens(messages: DataFrame, stop: tuple[str, ...] | None = None) -> DataFrame:
     """``message_id, timestamp, tokens`` of the messages with words; texts are cleaned once and the words written."""
-    words = phrase_tokens(F.coalesce("text", F.lit(""))) if stop is None else phrase_tokens(F.coalesce("text", F.lit("")), stop)
-    own = messages.select("message_id", "timestamp", words.alias("tokens"))
-    return written(own.where(F.size("tokens") > 0), "tokens")
+    return written(words.tokens(messages, ["message_id", "timestamp"], "phrase", STOP_WORDS if stop is None else stop), "tokens")
 
 
-def counts(tokenised: DataFrame, n: int) -> DataFrame:
-    """Each n-gram's occurrences, messages, first and last time; none crosses messages.
+def counts(tokenised: DataFrame, n: int, through: Broadcast | None = None) -> DataFrame:
+    """Each n-gram's occurrences, messages, first and last time; none crosses messages. ``through``: a filter of those
+    that are wanted; some others may come too.
 
-    A message's n-grams come as rows twice, all of them and each once: both are counted by phrase alone, so a task's
-    repetitions merge before they move."""
-    grams = ngrams(F.col("tokens"), n)
-    all_ = tokenised.select("timestamp", F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
-    once = tokenised.select(F.explode(F.array_distinct(grams)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("messages"))
-    return all_.join(once, "phrase").select("phrase", "n", "messages", "first_at", "last_at")
+    A message's n-grams are counted where it is, together with those of many others, so one row of a phrase moves for
+    some millions of words, in order of its first word."""
+    importable(tokenised.sparkSession)
+    part = tokenised.select("timestamp", "tokens").mapInArrow(lambda batches: counting.counted(batches, n, through.value if through else None), "phrase string, n bigint, messages bigint, first_at timestamp_ntz, last_at timestamp_ntz")
+    return part.groupBy("phrase").agg(F.sum("n").alias("n"), F.sum(F.coalesce("messages", "n")).alias("messages"), F.min("first_at").alias("first_at"), F.max(F.coalesce("last_at", "first_at")).alias("last_at"))
+
+
+def frequent(tokenised: DataFrame, n: int, least: int) -> DataFrame:
+    """``counts`` of the n-grams with ``least`` occurrences, written.
+
+    Most n-grams are rare. Numbers that they hash to are counted first; where one occurs ``least`` times, a bit is set
+    in a filter of fixed size (32 MB), and only phrases with their bit set move. The filter never holds back a phrase
+    that is frequent enough, and what else it lets through is told apart by its own count."""
+    spark = tokenised.sparkSession
+    importable(spark)
+    own = tokenised.select("tokens").mapInArrow(lambda batches: counting.hashed(batches, n), "part int, h bigint, n bigint")
+    own = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").select("h", "n")
+    parts = own.mapInArrow(lambda batches: counting.bits(batches, least), "part int, bits binary").collect()
+    through = spark.sparkContext.broadcast(counting.let_through([(r.part, r.bits) for r in parts]))
+    out = written(counts(tokenised, n, through).where(F.col("n") >= least), "frequent")
+    through.unpersist()
+    return out
 
 
 def pmi(tokenised: DataFrame, n: int, least: int, floor: float | None = 3.0) -> DataFrame:
@@ -33,13 +50,14 @@ def pmi(tokenised: DataFrame, n: int, least: int, floor: float | None = 3.0) ->
 
     Only n-grams that occur often enough meet the words' counts, one row of each for its n words."""
     eligible = tokenised.where(F.size("tokens") >= n)
-    words = eligible.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    total = F.broadcast(eligible.agg(F.sum(F.size("tokens")).cast("double").alias("total")))
-    frequent = written(counts(eligible, n).where(F.col("n") >= least), "frequent")
-    parts = frequent.select("phrase", F.explode(F.split("phrase", " ")).alias("w"))
-    logs = parts.join(words, "w").groupBy("phrase").agg(F.sum(F.log2(F.col("c").cast("double"))).alias("logs"))
+    importable(tokenised.sparkSession)
+    vocabulary = written(eligible.select("tokens").mapInArrow(counting.words, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    total = F.broadcast(vocabulary.agg(F.sum("c").cast("double").alias("total")))
+    often = frequent(eligible, n, least)
+    parts = often.select("phrase", F.explode(F.split("phrase", " ")).alias("w"))
+    logs = parts.join(vocabulary, "w").groupBy("phrase").agg(F.sum(F.log2(F.col("c").cast("double"))).alias("logs"))
     value = F.log2(F.col("n").cast("double")) + (n - 1) * F.log2("total") - F.col("logs")
-    out = frequent.join(logs, "phrase").crossJoin(total).withColumn("pmi", F.round(value, 6))
+    out = often.join(logs, "phrase").crossJoin(total).withColumn("pmi", F.round(value, 6))
     if floor is not None:
         out = out.where(F.col("pmi") >= floor)
     return out.select("phrase", "n", "messages", "first_at", "last_at", "pmi", F.round(F.col("pmi") * F.col("n"), 6).alias("network_score"))

@@ -127,3 +127,73 @@ def test_communities_hold_nodes_not_links(spark):
     assert {r.entity: r.community for r in found.collect()} == plain_louvain(*zip(*rows))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+TEXTS = ["See https://x.y/z's now, WWW.no www.yes.org/a @you_1 and #Big_Deal re-signed", "the US-backed plan’s 'end' ''quoted'' -dash- --two-- it's", "Kelvin İstanbul café naïve 日本 words", "rule at end --- ---\n", "rule---\u0085", "a b\x0bcd\x0cefg\thij\r\nklm", "", " ", None, "#only", "foo_bar/baz x-ray don't", "word " * 50, "@@at ##tag https://", "emoji 😀 between😀words"]
+
+
+@pytest.mark.parametrize("kind", ["phrase", "lexical"])
+def test_words_are_those_of_the_expressions(spark, monkeypatch, kind):
+    from pyspark.sql import functions as F
+
+    from murmurlake.functions import text, words
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "message_id bigint, text string")
+    of = {"phrase": text.phrase_tokens, "lexical": text.lexical_tokens}[kind]
+    want = {r.message_id: r.t for r in df.select("message_id", of(F.coalesce("text", F.lit(""))).alias("t")).collect() if r.t}
+    assert {r.message_id: r.tokens for r in words.tokens(df, ["message_id"], kind).collect()} == want
+    assert {r.message_id: r.n_tokens for r in words.tokens(df, ["message_id"], kind, sizes=True).collect()} == {k: len(t) for k, t in want.items()}
+    raw = pa.array([(t or "").encode() for t in TEXTS])
+    assert words.split(raw[:0], kind, text.STOP_WORDS, 3)[0].tolist() == []
+
+
+def messages_of_words(rng, many=60):
+    tokens = [[f"w{int(w)}" for w in rng.zipf(1.5, int(rng.integers(0, 12))) % 9] for _ in range(many)]
+    times = [None if k % 17 == 3 else 1000 * int(rng.integers(0, 50)) for k in range(many)]
+    whole = pa.RecordBatch.from_pydict({"tokens": pa.array(tokens, pa.list_(pa.string())), "timestamp": pa.array(times, pa.timestamp("us"))})
+    return tokens, times, lambda: (whole.slice(k, 7) for k in range(0, many, 7))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("chunk", [1, 20, 1 << 22])
+def test_rare_ngrams_do_not_move_and_frequent_ones_are_whole(monkeypatch, n, chunk):
+    monkeypatch.setattr(counting, "CHUNK", chunk)
+    tokens, times, whole = messages_of_words(np.random.default_rng(3))
+    want = defaultdict(list)
+    for k, (t, at) in enumerate(zip(tokens, times)):
+        for i in range(len(t) - n + 1):
+            want[" ".join(t[i : i + n])].append((k, at))
+
+    def told(batches):
+        out = defaultdict(list)
+        for b in batches:
+            for phrase, many, messages, first, last in zip(*(c.to_pylist() if i == 0 else c.cast(pa.int64()).to_pylist() for i, c in enumerate(b.columns))):
+                out[phrase].append((many, many if messages is None else messages, first, first if last is None else last))
+        known = lambda x: [v for v in x if v is not None]
+        return {p: (sum(r[0] for r in rows), sum(r[1] for r in rows), min(known(r[2] for r in rows), default=None), max(known(r[3] for r in rows), default=None)) for p, rows in out.items()}
+
+    plain = {p: (len(r), len({k for k, _ in r}), min((t for _, t in r if t is not None), default=None), max((t for _, t in r if t is not None), default=None)) for p, r in want.items()}
+    assert told(counting.counted(whole(), n)) == plain
+    least = 3
+    through = counting.let_through([(b["part"][0].as_py(), b["bits"][0].as_py()) for b in counting.bits(counting.hashed(whole(), n), least)])
+    assert told(counting.counted(whole(), n, through)) == {p: v for p, v in plain.items() if v[0] >= least}
+    assert any(v[0] < least for v in plain.values()) or n == 1
+    topics = (pa.RecordBatch.from_arrays([b["tokens"], pa.array([None if i % 3 == 2 else f"t{i % 3}" for i in range(len(b))], pa.string())], ["tokens", "topic"]) for b in whole())
+    found, terms = defaultdict(int), defaultdict(int)
+    for b in counting.grouped(topics, n):
+        for topic, term, many in zip(*(c.to_pylist() for c in b.columns)):
+            found[topic, term] += many
+    for k, t in enumerate(tokens):
+        for size in range(1, n + 1):
+            for i in range(len(t) - size + 1):
+                terms[None if k % 7 % 3 == 2 else f"t{k % 7 % 3}", " ".join(t[i : i + size])] += 1
+    assert found == terms
+
+
+def test_phrases_are_counted_in_batches(spark, tmp_path):
+    from murmurlake.operators import phrases
+
+    df = spark.createDataFrame([(k, AT, "alpha beta gamma delta") for k in range(6)] + [(9, AT, None)], "message_id bigint, timestamp timestamp_ntz, text string")
+    plan = phrases.counts(phrases.tokens(df), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and plan.count("Scan parquet") == 1
+    assert {(r.phrase, r.n, r.messages) for r in phrases.pmi(phrases.tokens(df), 3, 3, None).collect()} == {("alpha beta gamma", 6, 6), ("beta gamma delta", 6, 6)}
