@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from murmurlake.functions import counting, words
 from murmurlake.functions.shared import written
 from murmurlake.functions.text import lexical_tokens
 from murmurlake.functions.timegrid import period_index
@@ -22,9 +24,11 @@ def with_period(messages: DataFrame, periods: int = 4) -> DataFrame:
 
 
 def period_documents(messages: DataFrame, periods: int = 4) -> DataFrame:
-    """Messages, tokens and first and last time of each period; the text itself is never put together."""
-    own = with_period(tokens(messages), periods)
-    return own.groupBy(F.col("period").cast("bigint").alias("period")).agg(F.count("*").alias("messages"), F.sum(F.size("tokens").cast("bigint")).alias("tokens"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    """Messages, tokens and first and last time of each period; the text itself is never put together.
+
+    Texts are cleaned once: the bounds of time and the sums read the number of words and the time, which are written."""
+    own = with_period(written(words.tokens(messages, ["timestamp"], "lexical", sizes=True), "sizes"), periods)
+    return own.groupBy(F.col("period").cast("bigint").alias("period")).agg(F.count("*").alias("messages"), F.sum("n_tokens").alias("tokens"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
 
 
 def tfidf(counts: DataFrame, doc: str, features: int, docs: DataFrame | int) -> DataFrame:
@@ -46,8 +50,8 @@ def period_tfidf(messages: DataFrame, periods: int = 4, features: int = 500) ->
 
     Texts are cleaned once and the words written as they are; the bounds of time read one column of that, and the
     counts by period and term merge in each task before they move."""
-    words = written(tokens(messages).select("timestamp", "tokens"), "words")
-    rows = with_period(words, periods).select("period", F.explode("tokens").alias("word"))
+    cleaned = written(words.tokens(messages, ["timestamp"], "lexical"), "words")
+    rows = with_period(cleaned, periods).select("period", F.explode("tokens").alias("word"))
     whole = rows.groupBy("period", "word").agg(F.count("*").alias("c"))
     parts = whole.select("period", "c", F.explode(F.split("word", "-")).alias("term")).where("length(term) >= 2")
     counts = parts.groupBy("period", "term").agg(F.sum("c").alias("n"))
@@ -112,16 +116,15 @@ def segment_lift(messages: DataFrame, features: int = 500, k: int = 15) -> DataF
 
 def class_tfidf(messages: DataFrame, topic: str, features: int = 5000, k: int = 10) -> DataFrame:
     """The top words and pairs of each topic by class-based TF-IDF."""
-    from murmurlake.functions.text import ngrams
-
-    t = tokens(messages)
-    terms = t.select(F.col(topic).alias("topic"), F.explode(F.concat("tokens", ngrams(F.col("tokens"), 2))).alias("term"))
-    counts = terms.groupBy("topic", "term").agg(F.count("*").alias("n"))
+    own = words.tokens(messages.withColumn("topic", F.col(topic)), ["topic"], "lexical")
+    kind = messages.select(topic).schema[0].dataType
+    each = own.mapInArrow(lambda batches: counting.grouped(batches, 2), StructType([StructField("topic", kind), StructField("term", StringType()), StructField("n", LongType())]))
+    counts = written(each.groupBy("topic", "term").agg(F.sum("n").alias("n")), "terms")
     total = counts.groupBy("term").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "term").limit(features)
     kept = counts.join(F.broadcast(total), "term")
     grand = F.broadcast(total.agg(F.sum("total").alias("grand")))
-    words = F.sum("n").over(Window.partitionBy("topic"))
-    score = F.col("n") / words * (F.log((1.0 + F.col("grand")) / (1 + F.col("total"))) + 1)
+    size = F.sum("n").over(Window.partitionBy("topic"))
+    score = F.col("n") / size * (F.log((1.0 + F.col("grand")) / (1 + F.col("total"))) + 1)
     ranked = kept.crossJoin(grand).withColumn("score", F.round(score, 9)).withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "term")).cast("bigint"))
     return ranked.where(F.col("place") <= k).select("topic", "place", "term", "score")
 
