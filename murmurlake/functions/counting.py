@@ -161,35 +161,34 @@ def chunks(batches: Iterator[pa.RecordBatch], others: list[str]) -> Iterator[Chu
         yield Chunk(tokens, rest)
 
 
-def hashed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """``part, h, n``: how often the n-grams of each hash occur in a chunk."""
+def hashed(batches: Iterator[pa.RecordBatch], *sizes: int) -> Iterator[pa.RecordBatch]:
+    """``part, h, n``: how often the n-grams of each hash occur in a chunk, those of each of ``sizes``."""
     schema = pa.schema([("part", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
     for chunk in chunks(batches, []):
-        h = np.sort(chunk.hashes(chunk.starts(n), n))
-        at = runs(h)
-        yield from pieces([(h[at] >> np.uint64(64 - PARTS)).astype(np.int32), h[at].view(np.int64), np.diff(at, append=len(h))], schema)
+        for n in sizes:
+            h = np.sort(chunk.hashes(chunk.starts(n), n))
+            at = runs(h)
+            yield from pieces([(h[at] >> np.uint64(64 - PARTS)).astype(np.int32), h[at].view(np.int64), np.diff(at, append=len(h))], schema)
 
 
-def bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """``part, bits`` of rows of ``hashed``, all of a part's being among them: the parts of a filter that has a bit for
-    the first ``BITS`` bits of each hash that occurs ``least`` times."""
-    h, n, size, known = [], [], 0, CHUNK
-
-    def merge() -> None:
-        nonlocal h, n, size, known
-        keys, many = _merged(np.concatenate(h), np.concatenate(n), how=(np.add,))
-        h, n, size, known = [keys], [many], len(keys), max(CHUNK, 2 * len(keys))
-
+def _sums(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their numbers in rows of ``hashed``, all of a part's being among them; equal ones merge on the way."""
+    h, n, size, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, CHUNK
     for batch in batches:
         h.append(batch.column("h").to_numpy().view(np.uint64))
-        n.append(batch.column("n").to_numpy().astype(np.int32))
+        n.append(batch.column("n").to_numpy())
         size += len(h[-1])
         if size >= known:
-            merge()
-    if not size:
-        return
-    merge()
-    place = (h[0][n[0] >= least] >> np.uint64(64 - BITS)).astype(np.int64)
+            keys, many = _merged(np.concatenate(h), np.concatenate(n), how=(np.add,))
+            h, n, size, known = [keys], [many], len(keys), max(CHUNK, 2 * len(keys))
+    return tuple(_merged(np.concatenate(h), np.concatenate(n), how=(np.add,)))
+
+
+def bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``part, bits`` of rows of ``hashed``: the parts of a filter that has a bit for the first ``BITS`` bits of each
+    hash that occurs ``least`` times."""
+    h, n = _sums(batches)
+    place = (h[n >= least] >> np.uint64(64 - BITS)).astype(np.int64)
     width = 1 << (BITS - PARTS)
     for part in np.unique(place // width):
         own = np.zeros(width, bool)
@@ -197,6 +196,13 @@ def bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(np.packbits(own, bitorder="little").tobytes(), 1)], pa.binary())], ["part", "bits"])
 
 
+def commonest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """``h, n`` of the ``k`` commonest hashes in rows of ``hashed``, and of those as common as the last."""
+    h, n = _sums(batches)
+    keep = n >= (np.partition(n, -k)[-k] if len(n) > k else 0)
+    yield from pieces([h[keep].view(np.int64), n[keep]], pa.schema([("h", pa.int64()), ("n", pa.int64())]))
+
+
 def let_through(parts: list[tuple[int, bytes]]) -> np.ndarray:
     """The whole filter."""
     out = np.zeros(1 << (BITS - 3), np.uint8)
@@ -246,14 +252,18 @@ def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pieces([chunk.words, np.bincount(chunk.ids, minlength=len(chunk.words))], schema)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """``topic, term, n``: words and n-grams up to ``most`` words by a message's topic in a chunk."""
+def grouped(batches: Iterator[pa.RecordBatch], most: int, through: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """``topic, term, n``: words and n-grams up to ``most`` words by a message's topic in a chunk; ``through``: hashes, in
+    order, of those that are wanted."""
     for chunk in chunks(batches, ["topic"]):
         topics = chunk.others[0].dictionary_encode(null_encoding="encode")
         topic = topics.indices.to_numpy().astype(np.int64)
         schema = pa.schema([("topic", topics.dictionary.type), ("term", pa.string()), ("n", pa.int64())])
         for n in range(1, most + 1):
             at = chunk.starts(n)
+            if through is not None:
+                h = chunk.hashes(at, n)
+                at = at[through[np.searchsorted(through, h).clip(max=len(through) - 1)] == h] if len(through) else at[:0]
             codes = np.unique(chunk.codes(at, n), return_inverse=True)[1] * len(topics.dictionary) + topic[chunk.message[at]]
             _, first, many = np.unique(codes, return_index=True, return_counts=True)
             if len(first):

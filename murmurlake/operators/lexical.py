@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -114,12 +115,33 @@ def segment_lift(messages: DataFrame, features: int = 500, k: int = 15) -> DataF
     return lift.withColumn("place", place.cast("bigint")).where(F.col("place") <= k).select("segment", "place", "term", "media", "plain", "lift")
 
 
+def _commonest(tokenised: DataFrame, k: int, most: int = 1_000_000) -> tuple[np.ndarray | None, int]:
+    """The hashes of words and pairs that are as common as the ``k``-th, in order, and its count; none if there are
+    fewer than ``k`` or ties make them more than ``most``."""
+    spark = tokenised.sparkSession
+    own = tokenised.select("tokens").mapInArrow(lambda batches: counting.hashed(batches, 1, 2), "part int, h bigint, n bigint")
+    own = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").select("h", "n")
+    top = written(own.mapInArrow(lambda batches: counting.commonest(batches, k), "h bigint, n bigint"), "commonest")
+    found = top.orderBy(F.desc("n")).limit(k).agg(F.count("*").alias("many"), F.min("n").alias("least")).first()
+    as_common = top.where(F.col("n") >= F.lit(found.least))
+    if found.many < k or as_common.count() > most:
+        return None, 0
+    return np.sort(np.array([r.h for r in as_common.select("h").collect()], np.int64).view(np.uint64)), found.least
+
+
 def class_tfidf(messages: DataFrame, topic: str, features: int = 5000, k: int = 10) -> DataFrame:
     """The top words and pairs of each topic by class-based TF-IDF."""
-    own = words.tokens(messages.withColumn("topic", F.col(topic)), ["topic"], "lexical")
-    kind = messages.select(topic).schema[0].dataType
-    each = own.mapInArrow(lambda batches: counting.grouped(batches, 2), StructType([StructField("topic", kind), StructField("term", StringType()), StructField("n", LongType())]))
-    counts = written(each.groupBy("topic", "term").agg(F.sum("n").alias("n")), "terms")
+    own = written(words.tokens(messages.withColumn("topic", F.col(topic)), ["topic"], "lexical"), "words")
+    schema = StructType([StructField("topic", messages.select(topic).schema[0].dataType), StructField("term", StringType()), StructField("n", LongType())])
+
+    def counted(through: np.ndarray | None) -> DataFrame:
+        each = own.mapInArrow(lambda batches: counting.grouped(batches, 2, through), schema)
+        return written(each.groupBy("topic", "term").agg(F.sum("n").alias("n")), "terms")
+
+    hashes, least = _commonest(own, features)
+    counts = counted(hashes)
+    if hashes is not None and counts.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).count() < features:
+        counts = counted(None)
     total = counts.groupBy("term").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "term").limit(features)
     kept = counts.join(F.broadcast(total), "term")
     grand = F.broadcast(total.agg(F.sum("total").alias("grand")))

@@ -197,3 +197,23 @@ def test_phrases_are_counted_in_batches(spark, tmp_path):
     plan = phrases.counts(phrases.tokens(df), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" not in plan and plan.count("Scan parquet") == 1
     assert {(r.phrase, r.n, r.messages) for r in phrases.pmi(phrases.tokens(df), 3, 3, None).collect()} == {("alpha beta gamma", 6, 6), ("beta gamma delta", 6, 6)}
+
+
+def test_terms_of_topics_that_are_rare_do_not_move(spark):
+    from murmurlake.operators import lexical
+
+    rng = np.random.default_rng(4)
+    rows = [(k, f"t{k % 2}", " ".join(f"word{chr(97 + int(w))}" for w in rng.zipf(1.4, 30) % 26)) for k in range(40)]
+    df = spark.createDataFrame(rows, "message_id bigint, topic string, text string")
+    whole = lexical.class_tfidf(df, "topic", features=100_000, k=100_000)
+    few = lexical.class_tfidf(df, "topic", features=20, k=100_000)
+    totals = defaultdict(int)
+    for _, _, t in rows:
+        ws = t.split()
+        for term in [*ws, *(f"{x} {y}" for x, y in zip(ws, ws[1:]))]:
+            totals[term] += 1
+    want = sorted(totals, key=lambda t: (-totals[t], t))
+    assert {r.term for r in few.collect()} == set(want[:20]) and {r.term for r in whole.collect()} == set(want)
+    own = spark.createDataFrame([(t.split(),) for _, _, t in rows], "tokens array<string>")
+    hashes, least = lexical._commonest(own, 20)
+    assert least == totals[want[19]] and len(hashes) == sum(n >= least for n in totals.values()) < len(totals)
